@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.llm import mixing, pii
+from fieldspan.llm import chat, mixing, packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.op1_packing,
     "op2_pii": pii.op2_pii,
+    "op4_simhash": simhash.op4_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op10_chat": chat.op10_chat,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
