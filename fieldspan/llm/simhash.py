@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspan.llm.common import cut, table
@@ -226,6 +226,34 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, limit: int = L
     return rows.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(documents: DataFrame, shingle: int = SHINGLE, limit: int = LIST) -> DataFrame:
+    """The documents that stay when each component keeps one row, with all their columns.
+
+    It is the row of the least (doc_id, fingerprint), null ids last; equal pairs
+    count as one row. The window's limit works before its shuffle, and the join
+    keeps its partitioning.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)).alias("__key")
+    found = near_duplicates(documents, shingle, limit).select(key, "fp", "component_id")
+    # rows without any id in their component share no component_id: their fingerprint's root is unknown here, so it names them
+    group = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = found.groupBy("component_id", group.alias("none")).agg(F.min(F.struct("__key", "fp")).alias("kept")).select("kept.__key", F.col("kept.fp").alias("__fp"))
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("text")
+        for batch in batches:
+            prints = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*names, "__fp"])
+
+    from pyspark.sql.types import LongType, StructType
+
+    rows = documents.mapInArrow(run, StructType([*documents.schema.fields]).add("__fp", LongType())).withColumn("__key", key)
+    first = Window.partitionBy("__key", "__fp").orderBy(F.lit(1))
+    once = rows.withColumn("__row", F.row_number().over(first)).filter("__row = 1")
+    return once.join(kept, ["__key", "__fp"], "left_semi").select(*names)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
