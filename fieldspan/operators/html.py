@@ -1,0 +1,314 @@
+"""HTML: decoding, language, cleaning, visible text and the component tree.
+
+The pages go through ``mapInPandas`` a batch at a time: parsing is the one thing
+the built-in functions can't express. All functions here are pure.
+"""
+
+from __future__ import annotations
+
+import codecs
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul", "caption"}
+HIDDEN = {"script", "style", "template", "noscript", "head"}
+#: An opening tag closes these open elements, up to the scope's end.
+CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+P_ENDS = BLOCKS - {"html", "body", "dt", "dd", "li", "tr", "tbody", "thead", "tfoot", "caption"}
+MAX_DEPTH = 256
+
+
+def decode(content: bytes) -> tuple[str, str]:
+    """text, charset: by byte order mark, a charset declared in the first 4096 bytes, else UTF-8; bad bytes as windows-1252."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if content.startswith(mark):
+            return content[len(mark) :].decode(name, "replace"), name
+    found = re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", content[:4096], re.I)
+    for name in ([found.group(1).decode("ascii").lower()] if found else []) + ["utf-8"]:
+        try:
+            return content.decode(name), name
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return content.decode("windows-1252", "replace"), "windows-1252"
+
+
+@dataclass
+class Node:
+    """An element; ``text`` nodes have the tag ''."""
+
+    tag: str
+    attrs: dict[str, str] = field(default_factory=dict)
+    children: list["Node"] = field(default_factory=list)
+    text: str = ""
+
+    def walk(self) -> Iterator["Node"]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(reversed(node.children))
+
+    def words(self) -> str:
+        """The text of the element, white space collapsed."""
+        parts: list[str] = []
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            if n.tag in HIDDEN:
+                continue
+            parts.append(n.text if not n.tag else " " if n.tag in BLOCKS or n.tag in ("br", "td", "th") else "")
+            stack.extend(reversed(n.children))
+        return " ".join("".join(parts).split())
+
+
+class _Builder(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = Node("#root")
+        self.open = [self.root]
+
+    def _close(self, tags: set[str], scope: set[str]) -> None:
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag in tags:
+                del self.open[at:]
+                return self._close(tags, scope)
+            if self.open[at].tag in scope:
+                return None
+        return None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("html", "body", "head") and any(n.tag == tag for n in self.open):
+            return
+        if tag in P_ENDS:
+            self._close({"p"}, {"table", "td", "th", "button"})
+        if tag in CLOSES:
+            self._close(*CLOSES[tag])
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
+        self.open[-1].children.append(node)
+        if tag not in VOID and len(self.open) < MAX_DEPTH:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == tag:
+                del self.open[at:]
+                return
+            if self.open[at].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+                return
+
+    def handle_data(self, data: str) -> None:
+        self.open[-1].children.append(Node("", text=data))
+
+
+def parse(markup: str | None) -> Node:
+    builder = _Builder()
+    builder.feed(markup or "")
+    builder.close()
+    return builder.root
+
+
+def language(markup: str | None) -> str | None:
+    """The first language declared: the html element's, else the Content-Language pragma."""
+    own = pragma = None
+    for node in parse((markup or "")[:20_000]).walk():
+        if node.tag == "html":
+            own = own or node.attrs.get("lang") or node.attrs.get("xml:lang")
+        elif node.tag == "meta" and node.attrs.get("http-equiv", "").lower() == "content-language":
+            pragma = pragma or node.attrs.get("content")
+    return own or pragma or None
+
+
+DROPPED_TAGS = {"nav", "style", "noscript", "template", "iframe", "svg", "form", "button", "dialog"}
+KEPT_ALWAYS = {"html", "head", "body", "main", "article"}
+SECTIONS = {"article", "aside", "main", "nav", "section"}
+ROLES = {"navigation", "banner", "contentinfo", "search", "dialog", "alertdialog", "complementary"}
+CLASSES = {"nav", "navbar", "menu", "breadcrumb", "breadcrumbs", "sidebar", "ad", "ads", "advert"}
+CONSENT = re.compile(r"cookie|consent|gdpr|privacy-(?:banner|notice)", re.I)
+_STATE = re.compile(r"window\.__[A-Z_]+__\s*=")
+
+
+@dataclass(frozen=True)
+class Cleaner:
+    """What boilerplate is; each part may be replaced."""
+
+    tags: frozenset[str] = frozenset(DROPPED_TAGS)
+    roles: frozenset[str] = frozenset(ROLES)
+    classes: frozenset[str] = frozenset(CLASSES)
+    consent: re.Pattern = CONSENT
+
+    def drops(self, node: Node, above: list[str]) -> bool:
+        if node.tag in ("header", "footer"):
+            return not SECTIONS.intersection(above)
+        if node.tag in self.tags:
+            return True
+        if node.tag == "script":
+            kind = node.attrs.get("type", "").lower()
+            body = "".join(c.text for c in node.children)
+            return not (kind.endswith("json") or _STATE.search(body))
+        if node.tag in KEPT_ALWAYS:
+            return False
+        named = " ".join(node.attrs.get(a, "") for a in ("id", "class", "aria-label"))
+        return node.attrs.get("role", "").lower() in self.roles or bool(self.classes.intersection(node.attrs.get("class", "").lower().split())) or bool(self.consent.search(named))
+
+    def clean(self, node: Node, above: tuple[str, ...] = ()) -> Node:
+        kept = [c if not c.tag else self.clean(c, (*above, c.tag)) for c in node.children if not c.tag or not self.drops(c, list(above))]
+        return Node(node.tag, node.attrs, kept, node.text)
+
+
+def visible_text(root: Node) -> str:
+    """The title and a blank line, then a line for each block; cells and source newlines are spaces."""
+    title = next((n.words() for n in root.walk() if n.tag == "title"), "")
+    lines: list[list[str]] = [[]]
+
+    def visit(node: Node) -> None:
+        if not node.tag:
+            lines[-1].append(re.sub(r"\s+", " ", node.text))
+            return
+        if node.tag in HIDDEN or node.tag == "title":
+            return
+        if node.tag == "br":
+            lines.append([])
+            return
+        if node.tag in ("td", "th"):
+            lines[-1].append(" ")
+        block = node.tag in BLOCKS
+        if block:
+            lines.append([])
+        for child in node.children:
+            visit(child)
+        if block:
+            lines.append([])
+
+    visit(root)
+    body = "\n".join(x for x in (" ".join("".join(line).split()) for line in lines) if x)
+    return f"{title}\n\n{body}" if title else body
+
+
+@dataclass
+class Component:
+    """A part of a document: heading, paragraph, list_item, table, image, section."""
+
+    type: str
+    text: str = ""
+    children: list["Component"] = field(default_factory=list)
+    cells: list[tuple[int, int, int, int, bool, str]] = field(default_factory=list)
+    rank: int = 0
+
+
+def table_cells(node: Node) -> list[tuple[int, int, int, int, bool, str]]:
+    """(row, column, rowspan, colspan, header, text); footers last, spans resolved."""
+    sections: list[tuple[bool, list[Node]]] = []
+    for n in node.children:
+        if n.tag in ("thead", "tbody", "tfoot"):
+            sections.append((n.tag == "tfoot", [r for r in n.children if r.tag == "tr"]))
+        elif n.tag == "tr":
+            sections.append((False, [n]))
+    rows = [r for foot in (False, True) for f, own in sections if f == foot for r in own]
+    taken: set[tuple[int, int]] = set()
+    out = []
+    for r, row in enumerate(rows):
+        c = 0
+        for cell in (x for x in row.children if x.tag in ("td", "th")):
+            while (r, c) in taken:
+                c += 1
+
+            def span(name: str, most: int, cell: Node = cell) -> int:
+                value = cell.attrs.get(name, "1")
+                return max(1, min(int(value), most)) if value.isdigit() else 1
+
+            down, across = span("rowspan", max(len(rows) - r, 1)), span("colspan", 1000)
+            taken.update((r + i, c + j) for i in range(down) for j in range(across))
+            bold = bool(cell.children) and all(x.tag in ("b", "strong") or (not x.tag and not x.text.strip()) for x in cell.children) and bool(cell.words())
+            out.append((r, c, down, across, cell.tag == "th" or bold, cell.words()))
+            c += across
+    return out
+
+
+def components(root: Node) -> list[Component]:
+    """The flat components of a page in order; headings carry their rank."""
+    out: list[Component] = []
+    loose: list[str] = []
+
+    def flush() -> None:
+        words = " ".join("".join(loose).split())
+        loose.clear()
+        if words:
+            out.append(Component("paragraph", words))
+
+    def visit(node: Node, item: bool) -> None:
+        if not node.tag:
+            loose.append(node.text)
+        elif node.tag in HIDDEN or node.tag == "title":
+            return
+        elif re.fullmatch(r"h[1-6]", node.tag):
+            flush()
+            if words := node.words():
+                out.append(Component("heading", words, rank=int(node.tag[1])))
+        elif node.tag == "table":
+            flush()
+            out.append(Component("table", cells=table_cells(node)))
+        elif node.tag == "img":
+            if node.attrs.get("width") not in ("0", "1") and node.attrs.get("height") not in ("0", "1") and node.attrs.get("src"):
+                out.append(Component("image", node.attrs.get("alt", "")))
+        elif node.tag == "li":
+            flush()
+            if not any(c.tag in ("ul", "ol", "table") for c in node.walk() if c is not node):
+                if words := node.words():
+                    out.append(Component("list_item", words))
+            else:
+                for child in node.children:
+                    visit(child, True)
+                flush()
+        elif node.tag == "dl":
+            flush()
+            term = ""
+            for child in node.children:
+                if child.tag == "dt":
+                    term = child.words()
+                elif child.tag == "dd":
+                    out.append(Component("list_item", f"{term}: {child.words()}" if term else child.words()))
+        elif node.tag == "br":
+            loose.append("\n" if item else " ")
+        else:
+            if node.tag in BLOCKS:
+                flush()
+            for child in node.children:
+                visit(child, item)
+            if node.tag in BLOCKS:
+                flush()
+
+    visit(root, False)
+    flush()
+    return out
+
+
+TRAIL_HEADING, TRAIL_TOTAL = 200, 500
+
+
+def trail_text(trail: list[str]) -> str:
+    """A heading trail in at most 500 characters: headings are cut at 200, the middle ones go first."""
+    cut = [h if len(h) <= TRAIL_HEADING else h[: TRAIL_HEADING - 1] + "…" for h in trail]
+    while len(" › ".join(cut)) > TRAIL_TOTAL and len(cut) > 2:
+        del cut[len(cut) // 2]
+    return " › ".join(cut)
+
+
+def per_page(pages: DataFrame, key: str, column: str, schema: str, rows: Callable[[str | None], list[tuple]]) -> DataFrame:
+    """key and rows(page) for every page; ``schema`` has the columns after the key."""
+    kind = dict(pages.dtypes)[key]
+    names = [key, *(part.split()[0] for part in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(k, *row) for k, text in zip(batch[key], batch[column]) for row in rows(text)], columns=names)
+
+    return pages.select(key, column).mapInPandas(run, f"{key} {kind}, {schema}")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fieldspan.plans import analytics, candidates, documents, values
+from fieldspan.plans.common import Query
+from fieldspan.plans.documents import typed_pages
 
-from pyspark.sql import DataFrame, SparkSession
+_REGISTERS = (documents.register, values.register, candidates.register, analytics.register)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {k: q for r in _REGISTERS for k, q in r.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: s for r in _REGISTERS for k, s in r.sql.items()}
 
-
-def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+__all__ = ["ORACLE_SQL", "QUERIES", "typed_pages"]
