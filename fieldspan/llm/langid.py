@@ -103,6 +103,9 @@ class Model:
         symbol, context = code % K, code // K
         levels, rows = [], 0
         self.row = np.zeros((K, K, K), np.int32)
+        self.bits = np.zeros((0, size), np.float32)
+        if not size:
+            return
         below = np.full((1, K, size), 1.0 / K)
         below_row = np.zeros(K**3, np.int64)
         for order in range(4):

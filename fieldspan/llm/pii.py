@@ -109,7 +109,7 @@ def mod97(value: Column) -> Column:
     return let(F.translate(value, " ", ""), lambda v: ok(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))))
 
 
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 VALID: dict[str, Callable[[Column], Column]] = {
     "ip": lambda v: v.rlike(rf"^{PART}(?:\.{PART}){{3}}$"),
     "card": luhn,

@@ -1,0 +1,74 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from fieldspan.llm import pii
+
+
+def base(text):
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[ -]", "", m.group())[::-1]
+        total = sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(digits))
+        if 16 <= len(digits) <= 19 and total % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+PARTS = ["1", "2", "12", "300", "4111 1111 1111 1111", "4111-1111-1111-1111", "@", ".", "a", "b.c", "-", " ", "+", "(", ")", "é", "😀", "a@b.c", "1.2.3.4", "10.0.0.1", "0", "00255.0.1", "+1 555 123-4567", "%", "\n"]
+
+
+def test_base_spans_are_exact(spark, texts):
+    draw = random.Random(7)
+    rows = [(i, t) for i, t, *_ in texts] + [(100 + k, "".join(draw.choices(PARTS, k=draw.randint(0, 40)))) for k in range(1500)]
+    found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        spans = [(s["kind"], s["start"], s["end"]) for s in r["spans"]]
+        assert [s for s in spans if s[0] in pii.BASE_KINDS] == base(r["text"]), r["text"][:100]
+
+
+def test_added_kinds_and_context(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 here", "DE89 3704 0044 0532 0130 01", "my ssn is 123-45-6789", "code 123-45-6789", "ssn 000-45-6789", "card 4111 1111 1111 1111", "or 4111 1111 1111 1111"]
+    rows = pii.detect(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[s["kind"] for s in r["spans"]] for r in rows] == [["iban"], [], ["ssn"], [], [], ["card"], ["card"]]
+    assert rows[5]["spans"][0]["score"] > rows[6]["spans"][0]["score"]
+
+
+def test_redaction_leaves_nothing(spark, texts):
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").withColumnRenamed("lang", "spans")
+    clean = pii.redact(df)
+    assert clean.columns == df.columns and clean.count() == len(texts)
+    assert [s for r in clean.collect() for s in base(r["text"])] == []
+    assert "[IBAN]" in clean.filter("doc_id = 7").first()["text"] and "[CARD]" in clean.filter("doc_id = 7").first()["text"]
+    assert clean.filter("doc_id = 8").first()["text"] == texts[-1][1]
+
+
+def test_query(spark, sf_dir):
+    rows = pii.op2_pii(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    for r in rows:
+        wanted = base(r["text"])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in wanted).encode()).hexdigest()
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == x for k, *_ in wanted) for x in pii.BASE_KINDS]
+    assert sum(r["n_email"] for r in rows) > 0
+
+
+def test_no_python_in_the_plan(spark, sf_dir):
+    plan = pii.op2_pii(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.detect(empty).count() == 0 and pii.redact(empty).count() == 0
+    assert pii.detect(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a@b.c").alias("text"), F.lit(1).alias("spans"))).first()["spans"][0]["kind"] == "email"
