@@ -29,8 +29,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, personal data replaced by its kind; n_chars follows the text."""
-    clean = pii.redact(docs)
+    """The documents, personal data replaced by its kind; n_chars follows the text.
+
+    Twice, as a replaced span may free a number that it was joined to.
+    """
+    clean = pii.redact(pii.redact(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
