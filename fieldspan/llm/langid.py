@@ -132,7 +132,7 @@ class Model:
             self.row.reshape(-1)[hit] = base + place[full][hit]
             # where the lower order finds its probabilities for the next one
             below, below_row = p, np.where(place >= 0, place, 0) if order else np.zeros(1, np.int64)
-            if order and (place < 0).any():
+            if 0 < order < 3 and (place < 0).any():
                 missing = np.flatnonzero(place < 0)
                 extra = np.unique(missing % K ** (order - 1), return_inverse=True)
                 previous = self._lower(levels, order, extra[0])
