@@ -13,8 +13,8 @@ as files; after a shuffle, write the table first.
 
 Ids are those the tokenizer gives for the whole text. Its pattern never joins
 what white space parts, so texts are cut at spaces, and each distinct chunk is
-encoded once a worker: chunks of printable Latin characters by the tokenizer's
-own model, piece by piece, all others by the whole tokenizer.
+encoded once a worker: lowered chunks of printable Latin-1 characters by the
+tokenizer's own model, piece by piece, all others by the whole tokenizer.
 
 Defined cases: a null text is empty; each document ends with the id 1, so an
 empty one is the single piece [1]; null and repeated doc_ids are kept as they
@@ -38,8 +38,8 @@ from fieldspan.llm.common import table, to_batches
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks and words whose ids a worker keeps at most; beyond it starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 400_000, 400_000
+#: Chunks whose ids a worker keeps at most; beyond it starts anew.
+CACHE = 800_000
 
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin text without composed or odd cases: what normalisation leaves alone once lowered.
@@ -60,50 +60,62 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.alphabet = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _full(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a lowered run that the tokenizer's pattern doesn't cut."""
+        mapped = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+
+    def _kept(self, piece: str) -> bytes:
+        found = self.known.get(piece)
         if found is None:
-            mapped = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = found
+            found = self.known[piece] = self._piece(piece)
         return found
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _lowered(self, chunk: str) -> bytes:
+        """The ids of a lowered chunk of Latin-1 text without special strings."""
+        if chunk.isalpha():
+            return self._piece(chunk)
+        word = chunk.rstrip(".,")
+        if word.isalpha():
+            return self._kept(word) + self._kept(chunk[len(word) :])
         if not chunk:
             return b""
-        if not PLAIN.fullmatch(chunk) or any(s in chunk for s in self.special):
-            return self._full(chunk)
-        lower = chunk.lower()
-        if lower.isascii() and lower.isalpha():
-            return self._word(lower)
-        return b"".join(map(self._word, PIECE.findall(lower)))
+        return b"".join(map(self._kept, PIECE.findall(chunk))) if PLAIN.fullmatch(chunk) else self._full(chunk)
 
     def encode(self, text: str) -> bytes:
+        """The ids of a text.
+
+        Latin-1 text is lowered as a whole, where no special string can arise, and
+        its distinct chunks are kept; other text is left to the tokenizer chunk by
+        chunk.
+        """
         chunks = text.replace("\n", " ").split(" ")
-        known = self.chunks
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(self._lowered(c.lower()) if c.isascii() and "<|" not in c else self._full(c) for c in chunks)
+        if "<|" in text:
+            return b"".join(map(self._full, chunks))
+        known, chunks = self.known, text.lower().replace("\n", " ").split(" ")
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
             pass
-        if len(known) >= CACHE_CHUNKS:
+        if len(known) >= CACHE:
             known.clear()
         out = []
         for chunk in chunks:
             found = known.get(chunk)
             if found is None:
-                found = self._chunk(chunk)
+                found = self._lowered(chunk)
                 if len(chunk) <= 64:
                     known[chunk] = found
             out.append(found)
