@@ -71,7 +71,7 @@ def table_statements(cells: list[tuple[int, int, int, int, bool, str]]) -> Itera
         filled = [c for c in row if c[5]]
         if not filled:
             continue
-        if len(filled) == 1 and filled[0][4] and (filled[0][3] >= width or len(row) > 1) and body:
+        if len(filled) == 1 and filled[0][4] and ((filled[0][3] >= width > 1 and (body or columns)) or (len(row) > 1 and body)):
             band = filled[0][5]
         elif all(c[4] for c in filled) and not body:
             for _, at, _, across, _, words in filled:
