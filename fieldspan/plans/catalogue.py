@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fieldspan.plans import analytics, candidates, documents, values
+from fieldspan.plans import analytics, candidates, documents, judging, values
 from fieldspan.plans.common import Query
 from fieldspan.plans.documents import typed_pages
 
-_REGISTERS = (documents.register, values.register, candidates.register, analytics.register)
+_REGISTERS = (documents.register, values.register, candidates.register, analytics.register, judging.register)
 
 QUERIES: dict[str, Query] = {k: q for r in _REGISTERS for k, q in r.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: s for r in _REGISTERS for k, s in r.sql.items()}
