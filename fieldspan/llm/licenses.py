@@ -164,3 +164,40 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thr
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _oracle() -> str:
+    quoted = ",\n  ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    pattern = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    stands = "list_filter(range(1, len(w) + 1), lambda i: {})"
+    finds = " || ".join(
+        stands.format(" AND ".join(f"w[i{f' + {k}' if k else ''}] IS NOT DISTINCT FROM '{x}'" for k, x in enumerate(phrase))).join(("[{place: i - 1, label: '" + label + "'} FOR i IN ", "]"))
+        for phrase, label in PHRASES.items()
+    )
+    return f"""
+WITH templates AS (
+  SELECT label, list_distinct(regexp_extract_all({lower.format("text")}, {pattern})) AS tokens FROM (VALUES
+  {quoted}) t(label, text)
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {lower.format("coalesce(text, '')")} AS text FROM documents
+), found AS (
+  SELECT row, doc_id, len(w) AS n_words, {finds} AS places FROM (SELECT row, doc_id, regexp_extract_all(text, {pattern}) AS w FROM docs)
+), lines AS (
+  SELECT row, regexp_extract_all(line, {pattern}) AS w FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)
+), blocks AS (
+  SELECT DISTINCT row, list_distinct(w[first + 1 : first + {BLOCK}]) AS block FROM (SELECT row, w, unnest(range(0, greatest(1, len(w) - {BLOCK // 2}), {BLOCK // 2})) AS first FROM lines)
+), held AS (
+  SELECT row, label, CAST(len(list_intersect(block, tokens)) AS DOUBLE) / len(tokens) AS share, len(list_intersect(block, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) AS enough FROM blocks, templates
+), best AS (
+  SELECT row, list(DISTINCT label) AS labels, max(share) AS share FROM held WHERE enough GROUP BY row
+)
+SELECT doc_id, n_words, len(places) AS n_base, list_min([p.place FOR p IN places]) AS first_word, list_max([p.place FOR p IN places]) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct([p.label FOR p IN places])), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat([p.label FOR p IN places], coalesce(labels, [])))), ','), '') AS labels,
+  CASE WHEN len(places) > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(share, CAST(0 AS DOUBLE)) END AS score
+FROM found LEFT JOIN best USING (row)
+"""
+
+
+ORACLE = _oracle()

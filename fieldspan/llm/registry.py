@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat": chat.op10_chat,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op7_topk": topk.ORACLE, "op8_licenses": licenses.ORACLE, "op10_chat": chat.ORACLE}
