@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspan.operators.literals import read_literal, schema_type, unflatten
+
 SKIPPED = {"@context", "@id"}
 
 
@@ -154,15 +156,16 @@ def read_blobs(html: str | None) -> list[tuple[str, str, str]]:
             for node in nodes:
                 whole = {k: {**by_id[v["@id"]]} if isinstance(v, dict) and set(v) == {"@id"} and v["@id"] in by_id and v["@id"] != node.get("@id") else v for k, v in node.items()}
                 kinds = whole.get("@type", "")
-                out.append(("json_ld", str(kinds[0] if isinstance(kinds, list) and kinds else kinds).rsplit("/", 1)[-1], json.dumps(whole)))
+                out.append(("json_ld", schema_type(str(kinds[0] if isinstance(kinds, list) and kinds else kinds)), json.dumps(whole)))
         elif kind.endswith("json"):
             try:
-                out.append(("app_state", "", json.dumps(json.loads(body))))
+                value = json.loads(body)
+                out.append(("app_state", "", json.dumps(unflatten(value) if isinstance(value, list) else value)))
             except ValueError:
                 continue
-        elif m := re.search(r"window\.(__[A-Z_]+__)\s*=\s*(\{.*\})\s*;?\s*$", body, re.S):
+        elif m := re.search(r"window\.(__[A-Z_]+__)\s*=\s*(.+?)\s*;?\s*$", body, re.S):
             try:
-                out.append(("app_state", m.group(1), json.dumps(json.loads(m.group(2)))))
+                out.append(("app_state", m.group(1), json.dumps(read_literal(m.group(2)))))
             except ValueError:
                 continue
     out += [("microdata", str(i["@type"]), json.dumps(i)) for i in page.items]
