@@ -74,13 +74,18 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = ROWS) -> Iterator[pa
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        places = np.flatnonzero(scores >= least)
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))[:k]]
+    """Places of the k best ids, each with its highest score; ties to smaller ids."""
+    take = k
+    while True:
+        if take >= len(scores):
+            places = np.arange(len(scores))
+        else:
+            places = np.flatnonzero(scores >= np.partition(scores, len(scores) - take)[len(scores) - take])
+        places = places[np.lexsort((ids[places], -scores[places]))]
+        first = np.sort(np.unique(ids[places], return_index=True)[1])
+        if len(first) >= k or len(places) == len(scores):
+            return places[first[:k]]
+        take *= 4  # repeated ids hold the places
 
 
 def against(rows: DataFrame, files: list[str], search: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

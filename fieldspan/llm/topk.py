@@ -2,11 +2,11 @@
 
 A vector's score is the sum of ``SLICES`` local scores, the inner products over as
 many slices of the components. First, each task gathers of each slice's list its k
-highest entries and scores these; a query's k-th highest score so far is a cutoff
+highest ids and scores these; a query's k-th highest score so far is a cutoff
 that no result is below. Second, the cutoffs go with the queries to all tasks, and
 as a score of at least the cutoff needs a slice of at least cutoff / SLICES, the
 entries at or above that are sufficient. Third, their scores are resolved exactly
-and each task returns at most k a query that reach the cutoff.
+and each task returns at most k ids a query and block that reach the cutoff.
 
 Plan: two scans of the vectors, the queries in blocks (see blocks), two small
 aggregations by query. Components are floor(256 * x): local scores are exact
@@ -14,8 +14,8 @@ integers in double precision.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
 rows without vec_id, take no part; vectors of unequal length don't meet; an id's
-own rows are never its results; a repeated id is one query and one result, with
-its highest score; ties go to the smaller vec_id; an empty table gives no rows.
+own rows are never its results; a repeated id is one query, of all its vectors, and
+one result, with its highest score; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ def ranked(found: DataFrame, k: int, score: Column) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have vec_id and vector, array<double> of integers."""
-    asked = queries.dropDuplicates(["vec_id"])
-    # an entry may be gathered twice, and a repeated id counts once
+    asked = queries.dropDuplicates(["vec_id", "vector"])
+    # an entry may be gathered twice, an id may stand in more than one block, or ask with more than one vector
     once = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     gathered = once(against(vectors, written(asked), _search(k, True), FOUND))
     cutoffs = ranked(gathered, k, F.col("score")).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))

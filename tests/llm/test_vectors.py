@@ -71,3 +71,19 @@ def test_nothing_usable(spark, rows):
     assert ann.nearest(own, own).count() == 0
     own = topk.quantised(df)
     assert topk.top_k(own, own).count() == 0
+
+
+def test_top_k_of_repeated_ids_is_the_oracle(spark):
+    import duckdb
+    import pyarrow as pa
+
+    draw = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in draw.normal(size=8).astype(np.float32)]) for i in range(200)]
+    rows = [r for r in rows for _ in range(7)]  # more often than k
+    rows += [(i, [float(x) for x in draw.normal(size=8).astype(np.float32)]) for i in range(0, 200, 10)]  # another vector, of queries too
+    own = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))
+    found = topk.top_k(own, own.filter(F.col("vec_id") % 50 == 0)).collect()
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    assert sorted(map(tuple, found)) == sorted(con.execute(topk.ORACLE).fetchall())
+    assert len(found) == 4 * 5
