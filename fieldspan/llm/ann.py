@@ -1,23 +1,24 @@
 """Approximate nearest neighbours: a permutation index.
 
-``PIVOTS`` vectors, those of the least id hashes, are the pivots. A vector is
-represented by its ``PREFIX`` nearest pivots in order of nearness, and posted in
+``PIVOTS`` distinct vectors, those of the least id hashes, are the pivots. Each
+distinct vector of a block is indexed once, with the ids of its rows: it is represented by its ``PREFIX`` nearest pivots in order of nearness, and posted in
 each one's inverted file with its place there. A query visits the files of its own
 pivots and adds prefix - max(place, place) for every posting: half of what a shared
 pivot takes off Spearman's footrule distance with absent pivots placed last. The
-``RERANK`` share of the rows that is nearest by footrule is then ranked by its
-inner products in double precision.
+``RERANK`` share of the distinct vectors that is nearest by footrule, with all that
+tie with the last, is then ranked by its inner products in double precision, summed
+in one order wherever a vector stands, so that copies tie.
 
 Plan: one scan of the vectors; each task indexes at most blocks.ROWS rows at a
 time and reads the queries in blocks; one aggregation of each task's k best. Every
-row is posted. The share of rows that is reranked is constant, so the work of a
+distinct vector is posted. The share that is reranked is constant, so the work of a
 query grows with the rows, as for any index on vectors of this many directions.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite
 components, and rows without vec_id, take no part; vectors of unequal length don't
 meet, and a length without pivots is ranked in full; an id's own rows are never its
-results; a repeated id is one query and one result, with its highest score; ties go
-to the smaller vec_id; where there are fewer than k candidates, all are returned.
+results; a repeated id is one query, of all its vectors, and one result, with its
+highest score; ties go to the smaller vec_id; where there are fewer than k candidates, all are returned.
 """
 
 from __future__ import annotations
@@ -44,14 +45,33 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def pivots(vectors: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
-    """The pivots by length of their vectors: a bounded sample, at most ``count`` rows."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
+    """The pivots by length of their vectors: a bounded sample, ``count`` distinct vectors if there are as many.
+
+    Copies take places of a round, so further rounds pass over the vectors that are known.
+    """
+    hashed = vectors.withColumn("__hash", F.xxhash64("vector"))
     found: dict[int, list] = {}
-    for row in rows:
-        found.setdefault(len(row["vector"]), []).append(row["vector"])
+    known: set[int] = set()
+    while len(known) < count:
+        left = count - len(known)
+        rows = hashed.filter(~F.col("__hash").isin(*known)) if known else hashed
+        rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(left).collect()
+        for row in rows:
+            if row["__hash"] not in known:
+                known.add(row["__hash"])
+                found.setdefault(len(row["vector"]), []).append(row["vector"])
+        if len(rows) < left:
+            break
     return {n: np.unique(np.array(v, dtype=np.float64), axis=0) for n, v in found.items()}
 
 
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row's place for each distinct vector, all places by vector, and where each vector's begin and end there."""
+    plain = np.ascontiguousarray(rows + 0.0)  # without negative zeros
+    _, first, which = np.unique(plain.view(np.dtype((np.void, plain.itemsize * plain.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, np.argsort(which, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(which))])
+
+
 def prefixes(vectors: np.ndarray, chosen: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first, by direction."""
     near = vectors @ (chosen / np.linalg.norm(chosen, axis=1, keepdims=True)).T
@@ -75,26 +95,32 @@ def _search(chosen: dict[int, np.ndarray], k: int, prefix: int, rerank: float):
                 continue
             _, ids, rows = mine[n]
             depth = min(prefix, len(chosen.get(n, ())))
-            count = len(ids) if not depth else min(len(ids), max(4 * k, int(np.ceil(len(ids) * rerank))))
-            if depth:
-                if n not in prepared:
-                    prepared[n] = inverted(prefixes(rows, chosen[n], depth), len(chosen[n]))
-                orders = prefixes(asked, chosen[n], depth)
+            if n not in prepared:
+                first, members, cuts = distinct(rows)
+                own = rows[first]
+                prepared[n] = own, members, cuts, inverted(prefixes(own, chosen[n], depth), len(chosen[n])) if depth else []
+            own, members, cuts, files = prepared[n]
+            count = len(own) if not depth else min(len(own), max(4 * k, int(np.ceil(len(own) * rerank))))
+            orders = prefixes(asked, chosen[n], depth) if depth else None
             out_queries, out_ids, out_scores = [], [], []
-            shared = np.empty(len(ids), np.int16)
+            shared = np.empty(len(own), np.int16)
             for i, query in enumerate(query_ids):
-                places = np.arange(len(ids))
-                if count < len(ids):
+                places = np.arange(len(own))
+                if count < len(own):
                     shared[:] = 0
                     for at, pivot in enumerate(orders[i]):
-                        posted, there = prepared[n][pivot]
+                        posted, there = files[pivot]
                         shared[posted] += depth - np.maximum(there, at)
-                    places = np.argpartition(shared, len(ids) - count)[len(ids) - count :]
-                places = places[ids[places] != query]
-                scores = rows[places] @ asked[i]
-                kept = best(scores, ids[places], k)
+                    places = np.flatnonzero(shared >= np.partition(shared, len(own) - count)[len(own) - count])
+                sizes = cuts[places + 1] - cuts[places]
+                each = members[np.repeat(cuts[places + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
+                # not a matrix product, whose last bits depend on a row's place
+                scores = np.repeat((own[places] * asked[i]).sum(axis=1), sizes)
+                other = ids[each] != query
+                found, scores = ids[each][other], scores[other]
+                kept = best(scores, found, k)
                 out_queries.append(np.full(len(kept), query))
-                out_ids.append(ids[places[kept]])
+                out_ids.append(found[kept])
                 out_scores.append(scores[kept])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((out_queries, pa.int64()), (out_ids, pa.int64()), (out_scores, pa.float64()))], ["query_id", "vec_id", "score"])
 
@@ -104,7 +130,7 @@ def _search(chosen: dict[int, np.ndarray], k: int, prefix: int, rerank: float):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have vec_id and vector, array<double>."""
     chosen = pivots(vectors, count)
-    found = against(vectors, written(queries.dropDuplicates(["vec_id"])), _search(chosen, k, prefix, rerank), FOUND)
+    found = against(vectors, written(queries.dropDuplicates(["vec_id", "vector"])), _search(chosen, k, prefix, rerank), FOUND)
     return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k, F.col("score")).select("query_id", "rank", "vec_id", "score")
 
 

@@ -87,3 +87,26 @@ def test_top_k_of_repeated_ids_is_the_oracle(spark):
     con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
     assert sorted(map(tuple, found)) == sorted(con.execute(topk.ORACLE).fetchall())
     assert len(found) == 4 * 5
+
+
+def test_ann_recall_by_id_with_copies(spark):
+    draw = np.random.default_rng(11)
+    made = draw.normal(size=(4000, 32))
+    made = (made / np.linalg.norm(made, axis=1, keepdims=True)).astype(np.float32)
+    made[draw.choice(4000, 4000 // 3, replace=False)] = made[0]  # a third of the rows are copies
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made)] + [(1, [float(x) for x in made[1]])] * 30  # an id more often than k
+    own = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))
+    assert sum(map(len, ann.pivots(own).values())) == 256
+    wanted = exact(made.astype(np.float64).round(12), range(0, 4000, 20), 20)
+    # copies tie exactly; a matrix product may part them
+    copies = [i for i in range(4000) if (made[i] == made[0]).all()]
+    found = {}
+    for r in ann.nearest(own, own.filter(F.col("vec_id") % 20 == 0)).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = {True: [], False: []}
+    for q, best in wanted.items():
+        inside = q in set(copies)
+        ids = [i for i in copies if i != q][:20] if inside else [i for i, _ in best]
+        assert len(found[q]) == 20 == len(set(found[q]))
+        hits[inside].append(len(set(ids) & set(found[q])) / 20)
+    assert np.mean(hits[True]) == 1.0 and np.mean(hits[False]) >= 0.9
