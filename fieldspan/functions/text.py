@@ -62,9 +62,9 @@ def type_of_path(path: Column) -> Column:
 
 
 def estimate_tokens(text: Column) -> Column:
-    """Tokens by pieces: one for each 7 letters of a word, each digit and each other sign."""
-    letters = F.aggregate(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 7).cast("int"))
-    return letters + F.regexp_count(text, F.lit(r"[^\p{L}\s]"))
+    """Tokens by pieces: one for each 7 letters of an ASCII word, each digit and each other sign or letter."""
+    letters = F.aggregate(F.regexp_extract_all(text, F.lit(r"[A-Za-z]+"), F.lit(0)), F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 7).cast("int"))
+    return letters + F.regexp_count(text, F.lit(r"[^A-Za-z\s]"))
 
 
 def is_key_value(text: Column) -> Column:
