@@ -79,3 +79,10 @@ def test_blobs():
     found = [(s, t, json.loads(b)) for s, t, b in embedded.read_blobs(page)]
     assert found == [("json_ld", "Car", {"@type": "Car", "name": "x"}), ("app_state", "__DATA__", {"a": 1}), ("microdata", "Offer", {"@type": "Offer", "price": "5"}), ("rdfa", "", {"og:title": "t"})]
     assert embedded.read_blobs(None) == []
+
+
+@pytest.mark.parametrize("ahead", ["<style>" + "p{color:red} " * 5_000 + "</style>", "<script>" + "f('<p>'); " * 5_000 + "</script>", "<!-- " + "x" * 60_000 + " -->", '<noscript><img src="x"></noscript>' * 2_000])
+def test_language_after_a_long_head(ahead):
+    assert html.language(f'<html><head>{ahead}<meta http-equiv="Content-Language" content="de"></head><body>a') == "de"
+    assert html.language(f'{ahead}<html lang="fr"><body>a') == "fr"
+    assert html.language(f'<html>{ahead}<body><meta http-equiv="Content-Language" content="de">') is None
