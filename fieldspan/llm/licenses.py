@@ -8,6 +8,10 @@ positional filter (what is left of both after the shared token must suffice)
 leave the pairs that are verified. A block is a line; lines of more than
 ``BLOCK`` words are taken in windows of BLOCK words, half of which overlap.
 
+A notice may be wrapped: with ``wrapped``, every run of as many words as a template
+has is a block for that template too, whatever newlines part them. Wider blocks
+across lines would join a notice with words of its surroundings.
+
 Besides, three phrases are found wherever their words stand consecutively.
 
 Plan: one scan for the frequencies of the templates' own tokens (a bounded list,
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -90,6 +94,7 @@ class Index:
                 self.postings.setdefault(token, []).append((k, i))
         self.starters = {w for w, i in self.place.items() if i in self.postings}
         self.sets = [frozenset(t) for t in self.tokens]
+        self.lengths = [len(words(t)) for _, t in templates]
 
     def matches(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
         """Each template that the block holds to the threshold, with the share it holds."""
@@ -106,6 +111,30 @@ class Index:
                 if held >= self.least[k]:
                     yield k, held / len(self.tokens[k])
 
+    def runs(self, found: list[bytes]) -> Iterator[tuple[int, float]]:
+        """Each template that a run of its own length holds to the threshold, with the highest share."""
+        known = [(at, self.place[w]) for at, w in enumerate(found) if w in self.place]
+        present = {token for _, token in known}
+        for k, own in enumerate(self.sets):
+            if len(own & present) < self.least[k]:
+                continue
+            held: deque[tuple[int, int]] = deque()
+            counts: Counter = Counter()
+            most = 0
+            for at, token in known:
+                if token not in own:
+                    continue
+                held.append((at, token))
+                counts[token] += 1
+                while held[0][0] <= at - self.lengths[k]:
+                    _, gone = held.popleft()
+                    counts[gone] -= 1
+                    if not counts[gone]:
+                        del counts[gone]
+                most = max(most, len(counts))
+            if most >= self.least[k]:
+                yield k, most / len(own)
+
 
 def blocks(text: str) -> Iterator[list[bytes]]:
     for line in text.split("\n"):
@@ -135,7 +164,7 @@ def phrases(found: list[bytes], present: set[bytes]) -> list[tuple[int, str]]:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """A row for each document: its words, phrases, labels and its best containment."""
     index = Index(frequencies(documents, templates), templates, threshold)
     watched = {w.encode() for p in PHRASES for w in p} | index.starters
@@ -153,6 +182,9 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thr
                         if not index.starters.isdisjoint(block):
                             for k, held in index.matches(block):
                                 best[index.labels[k]] = max(best.get(index.labels[k], 0.0), held)
+                    if wrapped and "\n" in text:
+                        for k, held in index.runs(found):
+                            best[index.labels[k]] = max(best.get(index.labels[k], 0.0), held)
                 own = sorted({label for _, label in base})
                 places = [at for at, _ in base]
                 score = max([1.0 if base else 0.0, *best.values()])
@@ -163,7 +195,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thr
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True)
 
 
 def _oracle() -> str:

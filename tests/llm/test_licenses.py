@@ -50,3 +50,35 @@ def test_brute_force(spark, texts, sf_dir):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wrapped_notices(spark, tmp_path):
+    import textwrap
+
+    rows = []
+    for label, template in licenses.TEMPLATES:
+        for width in (16, 40, 72):
+            rows.append((len(rows), label, "Copyright (c) 2020 someone\n\n" + textwrap.fill(template, width) + "\nfoo bar\n"))
+    # the words of a template, apart by more than its length
+    rows.append((len(rows), "", "released\n" + "x\n" * 9 + "under the mit\n" + "x\n" * 9 + "license"))
+    draw = random.Random(4)
+    pieces = [w for _, t in licenses.TEMPLATES for w in t.split()]
+    for _ in range(150):
+        label, template = draw.choice(licenses.TEMPLATES)
+        kept = [w for w in template.split() if draw.random() > 0.15]
+        kept[draw.randrange(len(kept))] += " " + draw.choice(pieces)
+        rows.append((len(rows), None, "".join(w + draw.choice(" \n") for w in [*draw.choices(pieces, k=5), *kept, *draw.choices(pieces, k=5)])))
+    spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in licenses.op8_licenses(spark, str(tmp_path)).collect()}
+    for i, label, text in rows:
+        *_, base, labels, best = slow(text)
+        more, own = set(filter(None, labels.split(","))), licenses.words(text)
+        for name, template in licenses.TEMPLATES:
+            tokens, n = set(licenses.words(template)), len(licenses.words(template))
+            share = max((len(tokens & set(own[at : at + n])) / len(tokens) for at in range(max(1, len(own) - n + 1))), default=0)
+            if share >= licenses.THRESHOLD - 1e-12:
+                more.add(name)
+                best = max(best, share)
+        assert found[i]["labels"] == ",".join(sorted(more)) and abs(found[i]["score"] - best) < 1e-12
+        if label is not None:
+            assert (label in more and best == 1.0) if label else not more
