@@ -7,28 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspan.operators.storage import cut
 
-def buckets(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """The rows with bucket: at most ``most`` consecutive ranges of equal size, from 1.
 
-    The place of a row is its range-partitioned rank: ids within a partition plus
-    the sizes of those before, so that no task sorts all rows.
-    """
+def buckets(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """The rows with bucket: at most ``most`` consecutive ranges of equal size, from 1."""
     return ranked(rows, order).withColumn("bucket", F.floor((F.col("place") - 1) * F.least(F.lit(most), F.col("total")) / F.col("total")).cast("long") + 1)
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
     """The rows with place (from 1) in a total order and total, without a single-partition window.
 
-    Rows are range-partitioned by the order; a window numbers each partition, and
-    the partitions' counts, a row each, give the offsets.
+    Rows are range-partitioned and sorted by the order, and numbered where they
+    lie; that numbering is written once, to the shared folder. Both the sizes of
+    the partitions and the rows come from there, so that they agree whatever
+    bounds were sampled and however partitions were coalesced. Two places of one
+    order value may change between runs. One shuffle, and one row a partition is
+    broadcast.
     """
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    numbered = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33).alias("__part")
+    counts = numbered.groupBy(part).agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = before.withColumn("total", F.sum("__n").over(Window.partitionBy(F.lit(1)))).drop("__n")
-    within = Window.partitionBy("__part").orderBy(*order)
-    return parts.withColumn("__own", F.row_number().over(within)).join(F.broadcast(before), "__part").withColumn("place", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+    own = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.select("*", part).join(F.broadcast(before), "__part").withColumn("place", own + F.col("__before")).drop("__part", "__id", "__before")
 
 
 def learning_curve(rows: DataFrame, order: str, measures: dict[str, Column], most: int = 60) -> DataFrame:
