@@ -1,24 +1,32 @@
 """Approximate nearest neighbours: a permutation index.
 
-``PIVOTS`` distinct vectors, those of the least id hashes, are the pivots. Each
-distinct vector of a block is indexed once, with the ids of its rows: it is represented by its ``PREFIX`` nearest pivots in order of nearness, and posted in
-each one's inverted file with its place there. A query visits the files of its own
-pivots and adds prefix - max(place, place) for every posting: half of what a shared
-pivot takes off Spearman's footrule distance with absent pivots placed last. The
-``RERANK`` share of the distinct vectors that is nearest by footrule, with all that
-tie with the last, is then ranked by its inner products in double precision, summed
-in one order wherever a vector stands, so that copies tie.
-
-Plan: one scan of the vectors; each task indexes at most blocks.ROWS rows at a
-time and reads the queries in blocks; one aggregation of each task's k best. Every
-distinct vector is posted. The share that is reranked is constant, so the work of a
-query grows with the rows, as for any index on vectors of this many directions.
+A bounded sample of ``SAMPLE`` distinct vectors, those of the least hashes, fits the
+index; its first ``PIVOTS`` of a length are the pivots. Each distinct vector of a
+block is indexed once, with the ids of its rows: it is represented by its ``PREFIX``
+nearest pivots in order of nearness, and posted in each one's inverted file with
+its place there. A query visits the files of its own pivots and adds prefix -
+max(place, place) for every posting: half of what a shared pivot takes off
+Spearman's footrule distance with absent pivots placed last. A query's cutoff is the
+footrule that the nearest ``RERANK`` share of the sample reaches. Every vector that
+reaches it, wherever it lies, is then ranked by its inner products in double
+precision, summed in one order, so that copies tie. Hence the answer depends
+neither on partitions nor on blocks, and the sample itself holds more than k
+vectors that reach the cutoff.
+
+Plan: one scan of the hashes of the vectors for the sample (SAMPLE rows at most to the
+driver); the queries get their cutoffs and are written in blocks; one scan of the
+vectors, in which each task indexes at most blocks.ROWS rows at a time and reads
+the queries in blocks; one aggregation of each task's k best. Every distinct vector
+is posted. The share that is reranked is constant, so the work of a query grows
+with the rows, as for any index on vectors of this many directions.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite
 components, and rows without vec_id, take no part; vectors of unequal length don't
-meet, and a length without pivots is ranked in full; an id's own rows are never its
-results; a repeated id is one query, of all its vectors, and one result, with its
-highest score; ties go to the smaller vec_id; where there are fewer than k candidates, all are returned.
+meet, and a length of which the sample holds fewer than ``FEW`` is ranked in full; an
+id's own rows are never its results; a repeated id is one query, of all its
+vectors, and one result, with its highest score; ties go to the smaller vec_id; where
+there are fewer than k candidates, all are returned; further columns are left out;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +43,8 @@ from fieldspan.llm.blocks import against, best, finite, written
 from fieldspan.llm.common import table
 from fieldspan.llm.topk import ranked
 
-PIVOTS, PREFIX, RERANK, K, EVERY = 256, 48, 0.2, 20, 20
+PIVOTS, PREFIX, RERANK, K, EVERY = 256, 64, 0.3, 20, 20
+SAMPLE, FEW = 4096, 200
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -44,25 +54,23 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(ok).select(F.col("vec_id").cast("long"), vector.cast("array<double>").alias("vector"))
 
 
-def pivots(vectors: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
-    """The pivots by length of their vectors: a bounded sample, ``count`` distinct vectors if there are as many.
+def sample(vectors: DataFrame, size: int = SAMPLE) -> dict[int, np.ndarray]:
+    """By length, distinct vectors in order of their hashes: ``size`` in all, or all if there are fewer.
 
-    Copies take places of a round, so further rounds pass over the vectors that are known.
+    Only hashes in a range are grouped; the range grows until it holds enough.
     """
-    hashed = vectors.withColumn("__hash", F.xxhash64("vector"))
-    found: dict[int, list] = {}
-    known: set[int] = set()
-    while len(known) < count:
-        left = count - len(known)
-        rows = hashed.filter(~F.col("__hash").isin(*known)) if known else hashed
-        rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(left).collect()
-        for row in rows:
-            if row["__hash"] not in known:
-                known.add(row["__hash"])
-                found.setdefault(len(row["vector"]), []).append(row["vector"])
-        if len(rows) < left:
+    hashed = vectors.select("vector", F.xxhash64("vector").alias("hash"))
+    share = min(1.0, 4 * size / max(vectors.count(), 1))
+    while True:
+        within = hashed.filter(F.pmod("hash", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else hashed
+        rows = within.groupBy("hash").agg(F.min("vector").alias("vector")).orderBy(F.pmod("hash", F.lit(1 << 30)), "hash").limit(size).collect()
+        if len(rows) == size or share == 1:
             break
-    return {n: np.unique(np.array(v, dtype=np.float64), axis=0) for n, v in found.items()}
+        share = min(1.0, 8 * share)
+    found: dict[int, list] = {}
+    for row in rows:
+        found.setdefault(len(row["vector"]), []).append(row["vector"])
+    return {n: np.array(v, dtype=np.float64) for n, v in found.items() if len(v) >= FEW or share == 1}
 
 
 def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,32 +94,63 @@ def inverted(order: np.ndarray, count: int) -> list[tuple[np.ndarray, np.ndarray
     return [(rows[by_pivot[a:b]], places[by_pivot[a:b]].astype(np.int16)) for a, b in zip(cuts, cuts[1:])]
 
 
-def _search(chosen: dict[int, np.ndarray], k: int, prefix: int, rerank: float):
+def footrule(files: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Of each posted vector, what the pivots that it shares with the query take off the distance."""
+    shared[:] = 0
+    for at, pivot in enumerate(order):
+        posted, there = files[pivot]
+        shared[posted] += len(order) - np.maximum(there, at)
+    return shared
+
+
+def cutoffs(asked: np.ndarray, known: np.ndarray, chosen: np.ndarray, k: int, prefix: int, rerank: float) -> np.ndarray:
+    """The footrule that the nearest share of the sample reaches, for each query; -1 where all are to be ranked."""
+    depth, count = min(prefix, len(chosen)), max(4 * k, int(np.ceil(len(known) * rerank)))
+    if count >= len(known):
+        return np.full(len(asked), -1)
+    files, shared = inverted(prefixes(known, chosen, depth), len(chosen)), np.empty(len(known), np.int32)
+    place = len(known) - count
+    return np.array([np.partition(footrule(files, order, shared), place)[place] for order in prefixes(asked, chosen, depth)])
+
+
+def _asked(queries: DataFrame, fitted: Broadcast, k: int, prefix: int, rerank: float) -> DataFrame:
+    """The queries with their cutoffs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from fieldspan.llm.blocks import matrices
+
+        for batch in batches:
+            found = np.full(batch.num_rows, -1)
+            for n, (rows, _, asked) in matrices(batch.column(0), batch.column(1)).items():
+                known, chosen = fitted.value.get(n, (None, None))
+                if known is not None:
+                    found[rows] = cutoffs(asked, known, chosen, k, prefix, rerank)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], ["vec_id", "vector", "cutoff"])
+
+    return queries.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<double>, cutoff long")
+
+
+def _search(fitted: Broadcast, k: int, prefix: int):
     from fieldspan.llm.blocks import matrices
 
     def search(mine: dict, queries: pa.Table, prepared: dict) -> Iterator[pa.RecordBatch]:
-        for n, (_, query_ids, asked) in matrices(queries.column("vec_id"), queries.column("vector")).items():
+        for n, (places, query_ids, asked) in matrices(queries.column("vec_id"), queries.column("vector")).items():
             if n not in mine:
                 continue
             _, ids, rows = mine[n]
-            depth = min(prefix, len(chosen.get(n, ())))
+            least = queries.column("cutoff").to_numpy()[places]
+            _, chosen = fitted.value.get(n, (None, ()))
+            depth = min(prefix, len(chosen))
             if n not in prepared:
                 first, members, cuts = distinct(rows)
                 own = rows[first]
-                prepared[n] = own, members, cuts, inverted(prefixes(own, chosen[n], depth), len(chosen[n])) if depth else []
+                prepared[n] = own, members, cuts, inverted(prefixes(own, chosen, depth), len(chosen)) if depth else []
             own, members, cuts, files = prepared[n]
-            count = len(own) if not depth else min(len(own), max(4 * k, int(np.ceil(len(own) * rerank))))
-            orders = prefixes(asked, chosen[n], depth) if depth else None
+            orders = prefixes(asked, chosen, depth) if depth else None
             out_queries, out_ids, out_scores = [], [], []
-            shared = np.empty(len(own), np.int16)
+            shared = np.empty(len(own), np.int32)
             for i, query in enumerate(query_ids):
-                places = np.arange(len(own))
-                if count < len(own):
-                    shared[:] = 0
-                    for at, pivot in enumerate(orders[i]):
-                        posted, there = files[pivot]
-                        shared[posted] += depth - np.maximum(there, at)
-                    places = np.flatnonzero(shared >= np.partition(shared, len(own) - count)[len(own) - count])
+                places = np.arange(len(own)) if least[i] < 0 else np.flatnonzero(footrule(files, orders[i], shared) >= least[i])
                 sizes = cuts[places + 1] - cuts[places]
                 each = members[np.repeat(cuts[places + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
                 # not a matrix product, whose last bits depend on a row's place
@@ -127,10 +166,11 @@ def _search(chosen: dict[int, np.ndarray], k: int, prefix: int, rerank: float):
     return search
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, size: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have vec_id and vector, array<double>."""
-    chosen = pivots(vectors, count)
-    found = against(vectors, written(queries.dropDuplicates(["vec_id", "vector"])), _search(chosen, k, prefix, rerank), FOUND)
+    fitted = vectors.sparkSession.sparkContext.broadcast({n: (v, v[:count]) for n, v in sample(vectors, size).items()})
+    asked = _asked(queries.dropDuplicates(["vec_id", "vector"]), fitted, k, prefix, rerank)
+    found = against(vectors, written(asked), _search(fitted, k, prefix), FOUND)
     return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k, F.col("score")).select("query_id", "rank", "vec_id", "score")
 
 

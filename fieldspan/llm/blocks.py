@@ -8,7 +8,6 @@ names of the files, and the rows are scanned once and never shuffled.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspan.llm.common import shared_dir
+from fieldspan.llm.common import cut, scratch
 
 QUERIES, ROWS = 4096, 32_768
 
@@ -29,12 +28,13 @@ def finite(vector: Column) -> Column:
 
 def written(queries: DataFrame, size: int = QUERIES) -> list[str]:
     """The files that hold the queries, as URIs."""
-    spark = queries.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/queries-{uuid.uuid4()}"
+    rows = cut(queries)  # they are counted and written, and computed once
+    if not (count := rows.count()):
+        return []
+    path = f"{scratch(rows.sparkSession, 'queries')}/rows"
     # one task a block: many small partitions would make many small files
-    count = queries.count()
-    queries.repartition(max(1, -(-count // size))).write.option("maxRecordsPerFile", size).parquet(path)
-    return sorted(spark.read.parquet(path).inputFiles()) if count else []
+    rows.repartition(-(-count // size)).write.option("maxRecordsPerFile", size).parquet(path)
+    return sorted(rows.sparkSession.read.parquet(path).inputFiles())
 
 
 def read(uri: str) -> pa.Table:

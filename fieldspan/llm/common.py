@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldspan.operators.storage import cut, scratch, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
+__all__ = ["batch_of", "cut", "scratch", "shared_dir", "table", "to_batches"]
 
-    Where that is unset, a temporary folder is set, in local mode only: on a
-    cluster a machine-local folder would be lost with its machine.
-    """
-    context = spark.sparkContext
-    if (found := context.getConf().get("spark.checkpoint.dir")) or (found := context._jsc.sc().getCheckpointDir().getOrElse(None)):
-        return found
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldspan-"))
-    return context._jsc.sc().getCheckpointDir().get()
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed now and read from the shared folder from here on."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def to_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
