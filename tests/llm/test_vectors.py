@@ -134,3 +134,31 @@ def test_ann_answers_alike_in_any_partitions(spark):
     queries = own.filter(F.col("vec_id") % 20 == 0)
     one, many = (sorted(map(tuple, ann.nearest(own.repartition(n), queries, size=300).collect())) for n in (1, 16))
     assert one == many and len(one) == 20 * queries.count()
+
+
+def test_only_sufficient_entries_are_resolved(spark):
+    """The entries resolved hold all that reach the cutoff, and are few on the given table."""
+    own = topk.quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    rows = np.array([r["vector"] for r in own.orderBy("vec_id").collect()])
+    resolved = 0
+    for at in range(0, len(rows), 50):
+        lists = [x[0] for x in topk._slices(rows[at : at + 1], rows)]
+        scores = sum(lists)
+        scores[at] = -np.inf
+        for x in lists:
+            x[at] = -np.inf
+        cutoff = np.sort(scores)[-5]
+        places, found = topk.sufficient(lists, cutoff)
+        assert np.isin(np.flatnonzero(scores >= cutoff), places).all() and (found == scores[places]).all()
+        resolved += len(places)
+    print(resolved / (len(range(0, len(rows), 50)) * len(rows)))
+    assert resolved < 0.1 * len(range(0, len(rows), 50)) * len(rows)
+
+
+def test_further_and_clashing_columns(spark):
+    plain = frame(spark, vectors(200), odd=False)
+    more = plain.withColumns({"query_id": F.lit(7), "rank": F.lit(7), "score": F.lit(7.0), "vector": F.lit("v"), "cutoff": F.lit(1), "hash": F.lit(1)})
+    for module, search in ((topk, topk.top_k), (ann, ann.nearest)):
+        prepare = topk.quantised if module is topk else ann.usable
+        found = [sorted(map(tuple, search(prepare(df), prepare(df).filter("vec_id % 50 = 0")).collect())) for df in (plain, more)]
+        assert found[0] == found[1] and found[0]
