@@ -4,13 +4,12 @@ Tokens are ordered by their frequency in all documents, rare ones first. Of a
 template with n tokens, of which a block must hold o = ceil(THRESHOLD * n), only
 the n - o + 1 rarest are indexed: a block that holds none of them can't reach o.
 Then the length filter (a block with fewer than o known tokens is out) and the
-positional filter (what is left of both after the shared token must suffice)
-leave the pairs that are verified. A block is a line; lines of more than
-``BLOCK`` words are taken in windows of BLOCK words, half of which overlap.
-
-A notice may be wrapped: with ``wrapped``, every run of as many words as a template
-has is a block for that template too, whatever newlines part them. Wider blocks
-across lines would join a notice with words of its surroundings.
+positional filter (what is left of both after the first shared token must suffice)
+leave the pairs that are verified. For a template of n words, the blocks are all
+runs of n + n * ``SLACK`` words of the whole text, whatever lines and paragraphs
+they span, so that a notice is found however it is wrapped, with some words put
+between. Only runs that begin at a template's token and hold one of its indexed
+tokens are looked at: no other can hold more.
 
 Besides, three phrases are found wherever their words stand consecutively.
 
@@ -19,15 +18,17 @@ partial sums a task), one scan for the join, no shuffle of text; the templates
 and their index go to the tasks with the function.
 
 Defined cases: a null text is empty, with no words and null places; repeated rows
-and null ids are kept; very long lines are taken in windows; an empty table gives
-an empty one. Only doc_id and text are read.
+and null ids are kept; very long texts are taken whole, a document at a time; a text
+shorter than a run is one run; an empty table gives an empty one. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.llm.common import table, to_batches
 
-THRESHOLD, BLOCK = 0.8, 64
+THRESHOLD, SLACK = 0.8, 0.25
 PHRASES = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -87,60 +88,51 @@ class Index:
         self.place = {w: i for i, w in enumerate(sorted(vocabulary(templates), key=lambda w: (seen.get(w, 0), w)))}
         self.labels = [label for label, _ in templates]
         self.tokens = [sorted({self.place[w] for w in words(t)}) for _, t in templates]
+        self.sets = [frozenset(t) for t in self.tokens]
         self.least = [math.ceil(threshold * len(t) - 1e-9) for t in self.tokens]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.widths = [n + int(n * SLACK) for n in (len(words(t)) for _, t in templates)]
+        self.postings: dict[int, list[int]] = {}
+        self.prefixes: list[dict[int, int]] = []
         for k, (own, least) in enumerate(zip(self.tokens, self.least)):
-            for i, token in enumerate(own[: len(own) - least + 1]):
-                self.postings.setdefault(token, []).append((k, i))
+            self.prefixes.append({token: i for i, token in enumerate(own[: len(own) - least + 1])})
+            for token in self.prefixes[k]:
+                self.postings.setdefault(token, []).append(k)
         self.starters = {w for w, i in self.place.items() if i in self.postings}
-        self.sets = [frozenset(t) for t in self.tokens]
-        self.lengths = [len(words(t)) for _, t in templates]
-
-    def matches(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
-        """Each template that the block holds to the threshold, with the share it holds."""
-        own = sorted({self.place[w] for w in block if w in self.place})
-        count, done = len(own), set()
-        for j, token in enumerate(own):
-            for k, i in self.postings.get(token, ()):
-                if k in done or count < self.least[k]:
-                    continue
-                done.add(k)  # the first shared token of the prefix: none was shared before it
-                if 1 + min(len(self.tokens[k]) - i - 1, count - j - 1) < self.least[k]:
-                    continue
-                held = len(self.sets[k].intersection(own))
-                if held >= self.least[k]:
-                    yield k, held / len(self.tokens[k])
 
-    def runs(self, found: list[bytes]) -> Iterator[tuple[int, float]]:
-        """Each template that a run of its own length holds to the threshold, with the highest share."""
+    def held(self, k: int, block: list[int]) -> int:
+        """How many tokens of template k a block of sorted tokens holds, or 0 where a filter rules out enough."""
+        if len(block) < self.least[k]:
+            return 0
+        j, i = next(((j, self.prefixes[k][token]) for j, token in enumerate(block) if token in self.prefixes[k]), (0, -1))
+        if i < 0 or 1 + min(len(self.tokens[k]) - i - 1, len(block) - j - 1) < self.least[k]:
+            return 0
+        return len(self.sets[k].intersection(block))
+
+    def matches(self, found: list[bytes]) -> Iterator[tuple[int, float]]:
+        """Each template that a run of the words holds to the threshold, with the highest share."""
         known = [(at, self.place[w]) for at, w in enumerate(found) if w in self.place]
+        ats = [at for at, _ in known]
         present = {token for _, token in known}
-        for k, own in enumerate(self.sets):
-            if len(own & present) < self.least[k]:
+        indexed: dict[int, list[int]] = {}
+        for at, token in known:
+            for k in self.postings.get(token, ()):
+                indexed.setdefault(k, []).append(at)
+        for k, anchors in indexed.items():
+            if len(self.sets[k] & present) < self.least[k]:
                 continue
-            held: deque[tuple[int, int]] = deque()
-            counts: Counter = Counter()
-            most = 0
-            for at, token in known:
-                if token not in own:
+            most = following = 0
+            for n, (at, token) in enumerate(known):
+                if token not in self.sets[k]:
                     continue
-                held.append((at, token))
-                counts[token] += 1
-                while held[0][0] <= at - self.lengths[k]:
-                    _, gone = held.popleft()
-                    counts[gone] -= 1
-                    if not counts[gone]:
-                        del counts[gone]
-                most = max(most, len(counts))
+                while following < len(anchors) and anchors[following] < at:
+                    following += 1
+                if following == len(anchors):
+                    break
+                if anchors[following] < at + self.widths[k]:
+                    run = known[n : bisect_left(ats, at + self.widths[k], n)]
+                    most = max(most, self.held(k, sorted({t for _, t in run})))
             if most >= self.least[k]:
-                yield k, most / len(own)
-
-
-def blocks(text: str) -> Iterator[list[bytes]]:
-    for line in text.split("\n"):
-        own = words(line)
-        for at in range(0, max(1, len(own) - BLOCK // 2), BLOCK // 2):
-            yield own[at : at + BLOCK]
+                yield k, most / len(self.tokens[k])
 
 
 def phrases(found: list[bytes], present: set[bytes]) -> list[tuple[int, str]]:
@@ -164,7 +156,7 @@ def phrases(found: list[bytes], present: set[bytes]) -> list[tuple[int, str]]:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: its words, phrases, labels and its best containment."""
     index = Index(frequencies(documents, templates), templates, threshold)
     watched = {w.encode() for p in PHRASES for w in p} | index.starters
@@ -172,19 +164,12 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thr
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = value.as_py() or ""
-                found = words(text)
+                found = words(value.as_py())
                 present = watched.intersection(found)
                 base = phrases(found, present) if present else []
                 best: dict[str, float] = {}
-                if not present.isdisjoint(index.starters):
-                    for block in blocks(text):
-                        if not index.starters.isdisjoint(block):
-                            for k, held in index.matches(block):
-                                best[index.labels[k]] = max(best.get(index.labels[k], 0.0), held)
-                    if wrapped and "\n" in text:
-                        for k, held in index.runs(found):
-                            best[index.labels[k]] = max(best.get(index.labels[k], 0.0), held)
+                for k, held in index.matches(found) if not present.isdisjoint(index.starters) else ():
+                    best[index.labels[k]] = max(best.get(index.labels[k], 0.0), held)
                 own = sorted({label for _, label in base})
                 places = [at for at, _ in base]
                 score = max([1.0 if base else 0.0, *best.values()])
@@ -195,7 +180,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thr
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True)
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _oracle() -> str:
@@ -209,20 +194,20 @@ def _oracle() -> str:
     )
     return f"""
 WITH templates AS (
-  SELECT label, list_distinct(regexp_extract_all({lower.format("text")}, {pattern})) AS tokens FROM (VALUES
-  {quoted}) t(label, text)
+  SELECT label, list_distinct(w) AS tokens, len(w) AS n FROM (SELECT label, regexp_extract_all({lower.format("text")}, {pattern}) AS w FROM (VALUES
+  {quoted}) t(label, text))
 ), docs AS (
-  SELECT row_number() OVER () AS row, doc_id, {lower.format("coalesce(text, '')")} AS text FROM documents
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({lower.format("coalesce(text, '')")}, {pattern}) AS w FROM documents
 ), found AS (
-  SELECT row, doc_id, len(w) AS n_words, {finds} AS places FROM (SELECT row, doc_id, regexp_extract_all(text, {pattern}) AS w FROM docs)
-), lines AS (
-  SELECT row, regexp_extract_all(line, {pattern}) AS w FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)
-), blocks AS (
-  SELECT DISTINCT row, list_distinct(w[first + 1 : first + {BLOCK}]) AS block FROM (SELECT row, w, unnest(range(0, greatest(1, len(w) - {BLOCK // 2}), {BLOCK // 2})) AS first FROM lines)
-), held AS (
-  SELECT row, label, CAST(len(list_intersect(block, tokens)) AS DOUBLE) / len(tokens) AS share, len(list_intersect(block, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) AS enough FROM blocks, templates
+  SELECT row, doc_id, len(w) AS n_words, {finds} AS places FROM docs
+), stands AS (
+  SELECT row, unnest(w) AS token, unnest(range(0, len(w))) AS word FROM docs
+), known AS (
+  SELECT row, label, tokens, n, token, word FROM stands JOIN (SELECT label, tokens, n, unnest(tokens) AS token FROM templates) USING (token)
+), runs AS (
+  SELECT row, label, tokens, count(DISTINCT token) OVER (PARTITION BY row, label, tokens ORDER BY word RANGE BETWEEN CURRENT ROW AND n + CAST(floor(n * {SLACK}) AS BIGINT) - 1 FOLLOWING) AS held FROM known
 ), best AS (
-  SELECT row, list(DISTINCT label) AS labels, max(share) AS share FROM held WHERE enough GROUP BY row
+  SELECT row, list(DISTINCT label) AS labels, max(held / len(tokens)) AS share FROM runs WHERE held >= ceil({THRESHOLD} * len(tokens) - 1e-9) GROUP BY row
 )
 SELECT doc_id, n_words, len(places) AS n_base, list_min([p.place FOR p IN places]) AS first_word, list_max([p.place FOR p IN places]) AS last_word,
   coalesce(array_to_string(list_sort(list_distinct([p.label FOR p IN places])), ','), '') AS base_labels,
