@@ -37,3 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed now and read from the shared folder from here on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
