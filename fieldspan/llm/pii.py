@@ -9,9 +9,11 @@ is linear in the text.
 
 The base kinds are email, ip (parts of at most 255), card (Luhn, 16 to 19 digits)
 and phone (8 to 15 digits); their valid spans always stay. Added kinds: iban
-(mod-97, 15 to 34 characters) and ssn (d3-d2-d4, issued ranges only), kept if
-their score, which nearby words raise, reaches ``THRESHOLD``. Offsets are code
-points, the end exclusive.
+(mod-97, 15 to 34 characters), ssn (d3-d2-d4, issued ranges only), secret (32 to
+128 hex digits, both digits and letters and at least ``VARIED`` distinct ones) and key
+(access keys by their issuers' prefixes), kept if their score reaches ``THRESHOLD``.
+Words of the kind's context within ``CONTEXT_CHARS`` characters on either side
+raise it; ssn and secret need them. Offsets are code points, the end exclusive.
 
 Defined cases: a null text is empty; empty texts have no spans; rows are kept as
 they are, repeated ones too; an empty table gives an empty one. Columns of the
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from fieldspan.llm.common import table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret", "key")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -36,10 +38,12 @@ PATTERNS = {
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9]){7,14}+(?![\x20().-]*+[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9_])",
+    "key": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|sk-[A-Za-z0-9_-]{20,255}+|xox[abprs]-[A-Za-z0-9-]{10,255}+)(?![A-Za-z0-9_-])",
 }
 #: A cheap test that a text can hold the kind at all.
-GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]"}
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"[0-9A-Fa-f]{32}", "key": r"AKIA|gh[pousr]_|sk-|xox[abprs]-"}
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3, "key": 0.7}
 CONTEXT = {
     "email": r"(?i)\b(e-?mail|contact|write|mail)\b",
     "ip": r"(?i)\b(ip|address|host|server)\b",
@@ -47,8 +51,10 @@ CONTEXT = {
     "phone": r"(?i)\b(phone|tel|call|mobile|fax)\b",
     "iban": r"(?i)\b(iban|account|bank|konto)\b",
     "ssn": r"(?i)\b(ssn|social|security|insurance)\b",
+    "secret": r"(?i)(?:\b|_)(token|secret|passw(?:or)?d|credentials?|auth|(?:api|private|access)[ _-]?key)\b",
+    "key": r"(?i)(?:\b|_)(token|secret|key|auth)\b",
 }
-CONTEXT_CHARS, CONTEXT_GAIN, THRESHOLD, BLOCK = 40, 0.2, 0.5, 64
+CONTEXT_CHARS, CONTEXT_GAIN, THRESHOLD, BLOCK, VARIED = 40, 0.2, 0.5, 64, 8
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -115,14 +121,17 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "card": luhn,
     "iban": mod97,
     "ssn": lambda v: v.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"),
+    "secret": lambda v: v.rlike("[0-9]") & v.rlike("[A-Fa-f]") & (F.size(F.array_distinct(F.split(F.lower(v), ""))) >= VARIED),
 }
 
 
 def _span(text: Column, kind: str, match: Column) -> Column:
     start = match["start"]
     before = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    score = F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match["value"])).alias("end"), score.alias("score"))
+    end = start + F.length(match["value"])
+    near = F.concat(before, F.lit("\n"), F.substring(text, end + 1, F.lit(CONTEXT_CHARS)))
+    score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
