@@ -6,8 +6,8 @@ floor(rate) times plus one copy drawn by a hash-seeded Bernoulli trial whose
 probability is the rate's fraction.
 
 Plan: one aggregation by source (map-side partial sums, so that a source with a
-third of all rows sends one row a task), windows over one row a source, and a
-join of the documents with that table: a broadcast while there are at most
+third of all rows sends one row a task), windows over one row a source, written
+once to the shared folder, and a join of the documents with that table: a broadcast while there are at most
 ``BROADCAST_SOURCES`` sources, else a join of which the hot keys are split by
 adaptive execution. The documents themselves are never shuffled then.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspan.llm.common import table
+from fieldspan.llm.common import cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_RATE = 3.0
@@ -73,9 +73,8 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 def mix(documents: DataFrame, max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
     """The documents with source_size, target and copies, the times each is emitted."""
-    targets = source_targets(documents.select("source", "text"), max_rate).select(
-        F.col("source").alias("__source"), F.struct("source_size", "target").alias("__plan")
-    )
+    planned = source_targets(documents.select("source", "text"), max_rate)
+    targets = cut(planned.select(F.col("source").alias("__source"), F.struct("source_size", "target").alias("__plan")))
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("__plan.source_size") > 0, F.col("__plan.target") / F.col("__plan.source_size")).otherwise(F.lit(0.0))
