@@ -5,7 +5,9 @@ context is that of the longest context known to the tree; a symbol unseen there
 costs an escape, distinct / (count + distinct), and is coded one order lower, down
 to a uniform code. The statistics are frozen, so the lengths of all symbols in all
 contexts are computed once: a context with fewer than ``NODE`` occurrences has no
-row and uses its suffix, which makes the order variable. A text's language is the
+row and uses its suffix, which makes the order variable. So do, in each order, all but
+the most frequent 4 * ``NODES`` / languages contexts: the table's size is bounded
+whatever the languages and the sample. A text's language is the
 one with the shortest code; the score is its share of the posterior.
 
 Bytes are folded to symbols: letters without case, each byte beyond ASCII, and one
