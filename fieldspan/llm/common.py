@@ -8,9 +8,9 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.operators.storage import cut, scratch, shared_dir
+from fieldspan.operators.storage import cut, drop, scratch, shared_dir
 
-__all__ = ["batch_of", "cut", "scratch", "shared_dir", "table", "to_batches"]
+__all__ = ["batch_of", "cut", "drop", "scratch", "shared_dir", "table", "to_batches"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,19 +2,19 @@
 
 Each takes (spark, docs, sf_dir) and returns a DataFrame; between two stages the
 documents are a Parquet table in the shared folder, so that a lost executor costs
-tasks of one stage only.
+tasks of one stage only. A stage's table is deleted once the next one's is written,
+the last at the driver's end.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspan.llm import mixing, packing, pii, simhash, toxicity
-from fieldspan.llm.common import shared_dir, table
+from fieldspan.llm.common import drop, scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    docs, out = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
+        if k:
+            drop(spark, f"{out}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
