@@ -70,33 +70,52 @@ def four_digit_year(year: Column) -> Column:
     return F.when(F.length(year) > 2, n).when(n < 70, n + 2000).otherwise(n + 1900)
 
 
-def _month_number(name: Column) -> Column:
-    names = {m: i + 1 for months in MONTHS.values() for i, m in enumerate(months)} | {m[:3]: i + 1 for i, m in enumerate(MONTHS["en"])}
-    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.lower(F.regexp_replace(name, r"\.$", "")))
+_MONTH_NUMBERS = {m: i + 1 for months in MONTHS.values() for i, m in enumerate(months)} | {m[:3]: i + 1 for i, m in enumerate(MONTHS["en"])}
+_NAMES = "|".join(sorted(_MONTH_NUMBERS, key=len, reverse=True))
+YMD = r"(?<!\d)\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?!\d)"
+XYZ = r"(?<!\d)\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2})(?!\d)"
+DAY_FIRST = rf"(?i)(?<!\d)\d{{1,2}}(?:st|nd|rd|th|\.)?\s+(?:de\s+|of\s+)?(?:{_NAMES})\.?,?\s+(?:de\s+)?\d{{4}}(?!\d)"
+MONTH_FIRST = rf"(?i)(?:{_NAMES})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}(?!\d)"
 
 
-_NAMES = "|".join(sorted({m for months in MONTHS.values() for m in months} | {m[:3] for m in MONTHS["en"]}, key=len, reverse=True))
+def parse_date(text: Column, order: str = "dmy") -> Column:
+    """The date of a text: numbers before month names; a four-digit first number means y-m-d.
 
+    Each form is searched once, and what it finds is read by one lambda, so the
+    plan stays within a generated method.
+    """
+    day, month = (0, 1) if order == "dmy" else (1, 0)
+    months = F.create_map(*[F.lit(x) for kv in _MONTH_NUMBERS.items() for x in kv])
 
-def parse_date(text: Column, order: str = "dmy") -> Column:
-    """The date of a text: numbers before month names; a four-digit first number means y-m-d."""
-
-    def made(y: Column, m: Column, d: Column) -> Column:
-        return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-
-    get = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
-    ymd = r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
-    xyz = r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
-    words = rf"(?i)(?<!\d)(\d{{1,2}})(?:st|nd|rd|th|\.)?\s+(?:de\s+|of\s+)?({_NAMES})\.?,?\s+(?:de\s+)?(\d{{4}})(?!\d)"
-    month_first = rf"(?i)({_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?!\d)"
-    number = lambda p, i: get(p, i).try_cast("int")
-    day, month = (1, 2) if order == "dmy" else (2, 1)
-    return F.coalesce(
-        made(number(ymd, 1), number(ymd, 2), number(ymd, 3)),
-        made(four_digit_year(get(xyz, 3)), number(xyz, month), number(xyz, day)),
-        made(number(words, 3), _month_number(get(words, 2)), number(words, 1)),
-        made(number(month_first, 3), _month_number(get(month_first, 1)), number(month_first, 2)),
-    )
+    def read(raw: Column) -> Column:
+        numbers = F.regexp_extract_all(raw, F.lit(r"\d+"), F.lit(0))
+        name = F.lower(F.regexp_extract(raw, rf"(?i)({_NAMES})", 1))
+
+        def made(n: Column) -> Column:
+            at = lambda i: F.get(n, F.lit(i))
+            named = F.concat_ws("-", at(1), F.element_at(months, name).cast("string"), at(0))
+            ymd = F.concat_ws("-", at(0), at(1), at(2))
+            xyz = F.concat_ws("-", four_digit_year(at(2)).cast("string"), at(month), at(day))
+            return F.when(name != "", named).when(F.length(at(0)) == 4, ymd).otherwise(xyz)
+
+        return F.try_to_date(F.element_at(F.transform(F.array(numbers), made), 1), "y-M-d")
+
+    found = F.array(*[F.regexp_substr(text, F.lit(p)) for p in (YMD, XYZ, DAY_FIRST, MONTH_FIRST)])
+    return F.get(F.filter(F.transform(found, read), lambda d: d.isNotNull()), F.lit(0))
+
+
+def month_nearest_year(text: Column) -> Column:
+    """The number of the month name that stands nearest to the text's first year by words, the earlier on a tie; null without both."""
+    months = F.create_map(*[F.lit(x) for kv in _MONTH_NUMBERS.items() for x in kv])
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), F.element_at(months, w).alias("month"), w.rlike(r"^\d{4}$").alias("year")))
+
+    def nearest(all_: Column) -> Column:
+        year = F.get(F.filter(all_, lambda p: p["year"]), F.lit(0))["at"]
+        named = F.transform(F.filter(all_, lambda p: p["month"].isNotNull()), lambda p: F.struct(F.abs(p["at"] - year).alias("far"), p["at"].alias("at"), p["month"].alias("month")))
+        return F.when(year.isNotNull(), F.array_min(named)["month"])
+
+    return F.element_at(F.transform(F.array(placed), nearest), 1)
 
 
 def years(text: Column) -> Column:

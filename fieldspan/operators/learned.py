@@ -64,3 +64,18 @@ def add_counts(stats: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """The additive upsert of counters."""
     counters = ["documents", "hits", "wins", "failures"]
     return stats.select(key, *counters).union(new.select(key, *counters)).groupBy(key).agg(*[F.sum(c).alias(c) for c in counters])
+
+
+def digest_tree(items: DataFrame, key: str, digest: str, levels: int = 3, fan: int = 4096) -> DataFrame:
+    """digest: one SHA-256 of all items, as a tree.
+
+    A node is the digest of its children's digests in order of key, newline-joined;
+    items of one key // fan are one node, these of one key // fan² the next, and so
+    on, with one root above ``levels`` - 1 levels. So no task holds more than fan
+    digests, while keys are unique and below fan ** levels.
+    """
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__key", "__digest"))), lambda s: s["__digest"]), "\n")
+    now = items.select(F.col(key).cast("long").alias("__key"), F.col(digest).alias("__digest"))
+    for _ in range(levels - 1):
+        now = now.groupBy(F.floor(F.col("__key") / fan).alias("__up")).agg(F.sha2(joined, 256).alias("__digest")).select(F.col("__up").alias("__key"), "__digest")
+    return now.agg(F.sha2(joined, 256).alias("digest"))

@@ -210,11 +210,13 @@ def corpus_lock(spark, sf_dir):
 
 
 @register("""
-SELECT sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE text IS NOT NULL""")
+WITH a AS (SELECT doc_id AS k, sha256(text) AS d FROM documents WHERE text IS NOT NULL),
+b AS (SELECT k // 4096 AS k, sha256(string_agg(d, chr(10) ORDER BY k, d)) AS d FROM a GROUP BY k // 4096),
+c AS (SELECT k // 4096 AS k, sha256(string_agg(d, chr(10) ORDER BY k, d)) AS d FROM b GROUP BY k // 4096)
+SELECT sha256(string_agg(d, chr(10) ORDER BY k, d)) AS digest FROM c""")
 def corpus_digest(spark, sf_dir):
     parts = load(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "digest"))), lambda s: s["digest"])
-    return parts.agg(F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+    return learned.digest_tree(parts, "doc_id", "digest")
 
 
 @register("""

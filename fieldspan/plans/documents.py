@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,28 @@ from fieldspan.plans.common import Register, load
 register = Register()
 
 
+_NUMBER = re.compile(f"[-−]?{quantities.number_pattern()}", re.ASCII)
+
+
+def _summary(page):
+    """The page's language, first heading, number of statements and first statement with a number."""
+    said = statements.statements(page)
+    title = next((text for _, _, kind, _, text in said if kind == "heading"), None)
+    return [(html.language(page), title, len(said), next((text for *_, text in said if _NUMBER.search(text)), None))]
+
+
 def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, source, locale, title, n_statements, first_number: the minimum slice end to end."""
+    """page_id, source, locale, n_statements, title, first_number: the minimum slice end to end, a row a page from one pass."""
     pages = load(spark, sf_dir, "pages")
-    said = html.per_page(pages, "page_id", "html", "at int, component string, kind string, section string, said string", statements.statements)
-    numbers = said.withColumn("number", quantities.parse_number(F.col("said")))
-    found = numbers.groupBy("page_id").agg(
-        F.count("*").alias("n_statements"),
-        F.max_by("said", F.when(F.col("kind") == "heading", -F.col("at"))).alias("title"),
-        F.max_by("number", F.when(F.col("number").isNotNull(), -F.col("at"))).alias("first_number"),
+    found = html.per_page(pages, "page_id", "html", "lang string, title string, n_statements long, said string", _summary, keep=("url",))
+    return found.select(
+        "page_id",
+        text.source(F.lit(None).cast("string"), F.col("url")).alias("source"),
+        locales.canonical_locale(F.col("lang")).alias("locale"),
+        "n_statements",
+        "title",
+        quantities.parse_number(F.col("said")).alias("first_number"),
     )
-    tag = F.regexp_extract("html", r"<html[^>]*\slang=\"([^\"]+)\"", 1)
-    head = pages.select("page_id", text.source(F.lit(None).cast("string"), F.col("url")).alias("source"), locales.canonical_locale(tag).alias("locale"))
-    return head.join(found, "page_id", "left")
 
 
 @register()
