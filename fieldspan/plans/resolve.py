@@ -143,7 +143,7 @@ def assigned_statements(spark, sf_dir):
 
 @register("""
 WITH l AS (SELECT DISTINCT p_size AS doc, p_brand AS tab, upper(p_name) AS label FROM part), e AS (SELECT DISTINCT p_size AS doc, p_type AS tab, regexp_replace(p_name, ' [A-Za-z0-9]+$', '') AS other FROM part),
-w AS (SELECT l.doc, label, other, list_distinct(string_split(lower(label), ' ')) AS a, list_distinct(string_split(lower(other), ' ')) AS b FROM l JOIN e ON l.doc = e.doc AND tab <> e.tab)
+w AS (SELECT l.doc, label, other, list_distinct(string_split(lower(label), ' ')) AS a, list_distinct(string_split(lower(other), ' ')) AS b FROM l JOIN e ON l.doc = e.doc AND l.tab <> e.tab)
 SELECT DISTINCT doc, label, other FROM w WHERE list_has_all(a, b) OR list_has_all(b, a)""")
 def named_elsewhere(spark, sf_dir):
     part = load(spark, sf_dir, "part")
