@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from fieldspan.operators.html import Component, components, parse, trail_text
+from fieldspan.operators.html import Component, Node, components, parse, trail_text
 
 CUT, SEGMENT, UNIT = 4000, 3000, 2000
 ABBREVIATIONS = {
@@ -93,9 +93,14 @@ def table_statements(cells: list[tuple[int, int, int, int, bool, str]]) -> Itera
 
 def statements(markup: str | None, language: str = "en") -> list[tuple[int, str, str, str, str]]:
     """(place, component type, kind, trail, text) of every statement of a page, in order."""
+    return statements_of(parse(markup), language)
+
+
+def statements_of(root: Node, language: str = "en") -> list[tuple[int, str, str, str, str]]:
+    """The statements of a parsed page."""
     out: list[tuple[int, str, str, str, str]] = []
     trail: list[tuple[int, str]] = []
-    for c in components(parse(markup)):
+    for c in components(root):
         if c.type == "heading":
             trail = [(r, t) for r, t in trail if r < c.rank]
             found = [("heading", c.text)]

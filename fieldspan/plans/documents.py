@@ -51,14 +51,14 @@ def html_locale(spark, sf_dir):
 
 
 #: Visible text of one element of the pages by nested replaces: white space first, then blocks, tags, entities.
-_TEXT_SQL = """
+TEXT_SQL = """
 SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace({part}, '\\s+', ' ', 'g'), '</?(article|h1|p|li|ul|ol|br|div|nav|footer|body|blockquote|table|tr|h2|h3|section)( [^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g'),
   '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;', '&'), ' *\\n *', chr(10), 'g'), '\\n+', chr(10), 'g'), ' ' || chr(10)) AS said FROM pages
 """
 
 
-@register(_TEXT_SQL.format(part="regexp_extract(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<article>(.*)</article>', 1, 's')"))
+@register(TEXT_SQL.format(part="regexp_extract(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<article>(.*)</article>', 1, 's')"))
 def clean_text(spark, sf_dir):
     def own(page):
         tree = html.Cleaner().clean(html.parse(page))
