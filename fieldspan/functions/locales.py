@@ -41,6 +41,12 @@ def canonical_locale(tag: Column) -> Column:
     return F.when(ok, F.array_join(F.transform(parts, cased), "-"))
 
 
+def checked_locale(tag: Column) -> Column:
+    """The canonical tag; a malformed one is an error, a null one null."""
+    found = canonical_locale(tag)
+    return F.when(tag.isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("malformed locale: "), tag)))
+
+
 def language(locale: Column) -> Column:
     return F.split_part(locale, F.lit("-"), F.lit(1))
 

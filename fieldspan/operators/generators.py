@@ -64,7 +64,7 @@ def phrases(text: Column, most: int = 8) -> Column:
 
     Phrases end at punctuation.
     """
-    parts = F.filter(F.transform(F.split(text, r"[.,;:!?()\n|]+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"[.,;:!?()\n|]+"), lambda p: F.trim(p)), lambda p: p != "")
 
     def runs(words: Column) -> Column:
         n = F.size(words)

@@ -337,6 +337,50 @@ def components(root: Node) -> list[Component]:
     return out
 
 
+def render(parts: list[Component]) -> str:
+    """The components as plain text: headings marked, items dashed, tables a line a row, a blank line between blocks."""
+    out: list[tuple[str, str]] = []
+    for c in parts:
+        if c.type == "heading":
+            out.append(("block", f"{'#' * c.rank} {c.text}"))
+        elif c.type == "list_item":
+            out.append(("item", f"- {c.text}"))
+        elif c.type == "image":
+            out.append(("block", f"[Image: {c.text}]" if c.text else "[Image]"))
+        elif c.type == "table":
+            rows: dict[int, list[str]] = {}
+            for row, *_, words in sorted(c.cells):
+                rows.setdefault(row, []).append(words)
+            out.append(("block", "\n".join(" | ".join(own) for own in rows.values())))
+        elif c.text:
+            out.append(("block", c.text))
+    text = ""
+    for i, (kind, block) in enumerate(out):
+        between = "" if not i else "\n" if kind == "item" == out[i - 1][0] else "\n\n"
+        text += between + block
+    return text
+
+
+def paths(root: Node) -> list[tuple[str, str]]:
+    """(path, tag) of every element: tags from the root, with a place among siblings of one tag where there are several."""
+    out: list[tuple[str, str]] = []
+    waiting = [(root, "")]
+    while waiting:
+        node, path = waiting.pop()
+        counts: dict[str, int] = {}
+        for c in node.children:
+            counts[c.tag] = counts.get(c.tag, 0) + bool(c.tag)
+        seen: dict[str, int] = {}
+        below = []
+        for c in node.children:
+            if c.tag:
+                seen[c.tag] = seen.get(c.tag, 0) + 1
+                below.append((c, f"{path}/{c.tag}" + (f"[{seen[c.tag]}]" if counts[c.tag] > 1 else "")))
+        out += [(p, c.tag) for c, p in below]
+        waiting += reversed(below)
+    return out
+
+
 TRAIL_HEADING, TRAIL_TOTAL = 200, 500
 
 

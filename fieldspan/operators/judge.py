@@ -7,6 +7,9 @@ functions of the question, so results don't depend on partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +69,35 @@ def newest_rule(rules: DataFrame, key: str) -> DataFrame:
     """Of rules with one key the most recently added."""
     order = Window.partitionBy(key).orderBy(F.desc("place"))
     return rules.withColumn("__at", F.row_number().over(order)).filter("__at = 1").drop("__at")
+
+
+def in_halves(questions: list, ask: Callable[[list], list], rejected: type[Exception]) -> list:
+    """ask's answers to a batch; a batch that it rejects as too large is asked in halves, one question alone must pass."""
+    try:
+        return ask(questions)
+    except rejected:
+        if len(questions) < 2:
+            raise
+        middle = len(questions) // 2
+        return in_halves(questions[:middle], ask, rejected) + in_halves(questions[middle:], ask, rejected)
+
+
+@dataclass(frozen=True)
+class Retry:
+    """Waits between tries of a call that fails for a while: doubled each time, up to a limit, with a share of jitter."""
+
+    tries: int = 4
+    first: float = 0.5
+    longest: float = 30.0
+    jitter: float = 0.25
+
+    def waits(self, draw: Callable[[], float]) -> list[float]:
+        return [min(self.first * 2**i, self.longest) * (1 + self.jitter * (2 * draw() - 1)) for i in range(self.tries - 1)]
+
+    def call(self, work: Callable[[], object], passing: type[Exception], draw: Callable[[], float], sleep: Callable[[float], None]) -> object:
+        for wait in self.waits(draw):
+            try:
+                return work()
+            except passing:
+                sleep(wait)
+        return work()

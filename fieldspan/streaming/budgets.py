@@ -21,13 +21,17 @@ def first_seen(rows: DataFrame, key: str, when: str, late: str) -> DataFrame:
     return rows.withWatermark(when, late).dropDuplicatesWithinWatermark([key])
 
 
-def admitted(rows: DataFrame, by: str, limit: int, seconds: int = 60) -> DataFrame:
+def admitted(rows: DataFrame, by: str, limit: int, seconds: int = 60, idle: int = 3600) -> DataFrame:
     """by, event_id, admitted: at most ``limit`` admitted calls a group in any ``seconds``, in order of ts within a batch.
 
-    State: the times of admitted calls of the last ``seconds``, at most ``limit``.
+    State: the times of admitted calls of the last ``seconds``, at most ``limit``; a
+    group that nothing came for in ``idle`` seconds is forgotten.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = []
@@ -38,11 +42,12 @@ def admitted(rows: DataFrame, by: str, limit: int, seconds: int = 60) -> DataFra
                 held.append(int(at))
             out.append(ok)
         state.update((held,))
+        state.setTimeoutDuration(idle * 1000)
         yield pd.DataFrame({by: key[0], "event_id": rows["event_id"], "admitted": out})
 
     kind = dict(rows.dtypes)[by]
     shaped = rows.select(by, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return shaped.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, event_id long, admitted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return shaped.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, event_id long, admitted boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drift(rows: DataFrame, by: str, size: int = 200) -> DataFrame:
