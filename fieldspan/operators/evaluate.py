@@ -82,25 +82,39 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.expr(f"percentile({value}, 0.5)").alias("p50"), F.expr(f"percentile({value}, 0.95)").alias("p95"), F.count("*").alias("n"))
 
 
-def poisson_bootstrap(rows: DataFrame, value: str, weight: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+#: P(a Poisson(1) count is at most n), by n.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
+def resample_counts(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """How often each row (by key) is drawn in each resample: Poisson(1), from a 32-bit hash of both and the seed."""
+    mixed = (keys.astype(np.uint64)[:, None] % np.uint64(1 << 32) * np.uint64(2_654_435_761) + np.arange(resamples, dtype=np.uint64)[None, :] * np.uint64(40_503) + np.uint64(seed)) & np.uint64(0xFFFFFFFF)
+    for shift, factor in ((15, 2_246_822_519), (13, 3_266_489_917)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor) & np.uint64(0xFFFFFFFF)
+    mixed ^= mixed >> np.uint64(16)
+    return np.searchsorted(np.array(POISSON), mixed / 4_294_967_296.0, side="left")
+
+
+def poisson_bootstrap(rows: DataFrame, key: str, value: str, weight: str, resamples: int = 200, seed: int = 42) -> DataFrame:
     """Weighted mean with a 95% bootstrap interval; every row draws Poisson(1) counts, so no task holds all rows.
 
-    Partial sums of each resample are made a partition and added by resample.
+    A row's counts depend on its key alone, so the interval doesn't on partitions
+    or their order. Partial sums of each resample are made a partition, some
+    thousand rows at a time, and added by resample.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
         sums = np.zeros((2, resamples))
         for batch in batches:
-            x, w = batch[value].to_numpy(float), batch[weight].to_numpy(float)
-            counts = draw.poisson(1.0, (len(x), resamples))
-            sums += [(counts * (x * w)[:, None]).sum(axis=0), (counts * w[:, None]).sum(axis=0)]
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                x, w = part[value].to_numpy(float), part[weight].to_numpy(float)
+                counts = resample_counts(part[key].to_numpy(np.int64), resamples, seed)
+                sums += [(counts * (x * w)[:, None]).sum(axis=0), (counts * w[:, None]).sum(axis=0)]
         yield pd.DataFrame({"resample": np.arange(resamples), "xw": sums[0], "w": sums[1]})
 
-    means = rows.select(value, weight).mapInPandas(run, "resample int, xw double, w double").groupBy("resample").agg((F.sum("xw") / F.sum("w")).alias("mean"))
-    interval = means.agg(F.expr("percentile(mean, 0.025)").alias("low"), F.expr("percentile(mean, 0.975)").alias("high"))
+    means = rows.select(key, value, weight).mapInPandas(run, "resample int, xw double, w double").groupBy("resample").agg((F.sum("xw") / F.sum("w")).alias("mean"))
+    interval = means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
     return rows.agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean")).join(F.broadcast(interval))
 
 

@@ -30,7 +30,8 @@ def decode(content: bytes) -> tuple[str, str]:
     for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
         if content.startswith(mark):
             return content[len(mark) :].decode(name, "replace"), name
-    found = re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", content[:4096], re.I)
+    tags = re.findall(rb"<meta\b[^>]*", content[:4096], re.I)
+    found = next((m for m in (re.search(rb"charset[\s=\"']+([\w:.-]+)", t, re.I) for t in tags) if m), None)
     for name in ([found.group(1).decode("ascii").lower()] if found else []) + ["utf-8"]:
         try:
             return content.decode(name), name
@@ -162,8 +163,8 @@ def language(markup: str | None) -> str | None:
 
 DROPPED_TAGS = {"nav", "style", "noscript", "template", "iframe", "svg", "form", "button", "dialog"}
 KEPT_ALWAYS = {"html", "head", "body", "main", "article"}
-SECTIONS = {"article", "aside", "main", "nav", "section"}
-ROLES = {"navigation", "banner", "contentinfo", "search", "dialog", "alertdialog", "complementary"}
+SECTIONS = {"section", "nav", "main", "aside", "article"}
+ROLES = {"complementary", "search", "contentinfo", "alertdialog", "navigation", "dialog", "banner"}
 CLASSES = {"nav", "navbar", "menu", "breadcrumb", "breadcrumbs", "sidebar", "ad", "ads", "advert"}
 CONSENT = re.compile(r"cookie|consent|gdpr|privacy-(?:banner|notice)", re.I)
 _STATE = re.compile(r"window\.__[A-Z_]+__\s*=")

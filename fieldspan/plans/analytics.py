@@ -22,10 +22,15 @@ def latency_pct(spark, sf_dir):
     return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 
-@register("SELECT round(sum(value * user_id) / sum(user_id), 4) AS mean FROM events")
+@register(f"""
+WITH d AS (SELECT value, user_id, CAST((event_id % 4294967296 * 2654435761::HUGEINT + r * 40503 + 42) % 4294967296 AS UBIGINT) AS h, r FROM events, range(200) t(r)),
+a AS (SELECT *, CAST(CAST(xor(h, h >> 15) AS HUGEINT) * 2246822519 % 4294967296 AS UBIGINT) AS i FROM d), b AS (SELECT *, CAST(CAST(xor(i, i >> 13) AS HUGEINT) * 3266489917 % 4294967296 AS UBIGINT) AS j FROM a),
+u AS (SELECT value, user_id, r, xor(j, j >> 16) / 4294967296.0 AS u FROM b), c AS (SELECT *, len(list_filter({list(evaluate.POISSON)}, lambda p: p < u)) AS n FROM u),
+m AS (SELECT r, sum(n * value * user_id) / sum(n * user_id) AS mean FROM c GROUP BY r)
+SELECT (SELECT round(sum(value * user_id) / sum(user_id), 4) FROM events) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def bootstrap_mean(spark, sf_dir):
-    found = evaluate.poisson_bootstrap(load(spark, sf_dir, "events"), "value", "user_id")
-    return found.filter("low <= high").select(F.round("mean", 4).alias("mean"))
+    found = evaluate.poisson_bootstrap(load(spark, sf_dir, "events"), "event_id", "value", "user_id")
+    return found.select(F.round("mean", 4).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @register("""
