@@ -124,16 +124,8 @@ def kv_statements(spark, sf_dir):
 
 
 @register("""
-WITH t AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))
-SELECT doc_id, CAST(coalesce(list_sum([ceil(length(w) / 7.0) FOR w IN regexp_extract_all(text, '[A-Za-z]+')]), 0) + len(regexp_extract_all(text, '[^A-Za-z\\s\\x0b]')) AS BIGINT) AS tokens FROM t""")
+SELECT doc_id, CAST(coalesce(list_sum([ceil(length(w) / 7.0) FOR w IN regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')]), 0) + len(regexp_extract_all(coalesce(text, ''), '[^A-Za-z\\s\\x0b]')) AS BIGINT) AS tokens FROM documents""")
 def token_estimate(spark, sf_dir):
-    """The ASCII documents that its SQL covers; token_estimate_all is the whole job."""
-    docs = load(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", text.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
-
-
-@register()
-def token_estimate_all(spark, sf_dir):
     """Of every document; a null text is empty."""
     return load(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"))
 

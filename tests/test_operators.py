@@ -109,5 +109,5 @@ def test_judge_batches_of_every_order(spark, tmp_path):
                 batch, used = batch + 1, 0
             used += tokens
             wanted[order, place] = batch
-    found = QUERIES["judge_batches_all"](spark, str(tmp_path)).collect()
+    found = QUERIES["judge_batches"](spark, str(tmp_path)).collect()
     assert {(r["state_id"], r["place"]): r["batch"] for r in found} == wanted and len(found) == len(wanted)
