@@ -87,20 +87,18 @@ def prefixes(vectors: np.ndarray, chosen: np.ndarray, prefix: int) -> np.ndarray
 
 
 def inverted(order: np.ndarray, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By pivot: the rows that are posted there and their places."""
+    """By pivot: the rows that are posted there and their prefix - place."""
     rows, places = np.divmod(np.arange(order.size, dtype=np.int64), order.shape[1])
     by_pivot = np.argsort(order.ravel(), kind="stable")
     cuts = np.searchsorted(order.ravel()[by_pivot], np.arange(count + 1))
-    return [(rows[by_pivot[a:b]], places[by_pivot[a:b]].astype(np.int16)) for a, b in zip(cuts, cuts[1:])]
+    return [(rows[by_pivot[a:b]], (order.shape[1] - places[by_pivot[a:b]]).astype(np.int16)) for a, b in zip(cuts, cuts[1:])]
 
 
-def footrule(files: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Of each posted vector, what the pivots that it shares with the query take off the distance."""
-    shared[:] = 0
-    for at, pivot in enumerate(order):
-        posted, there = files[pivot]
-        shared[posted] += len(order) - np.maximum(there, at)
-    return shared
+def footrule(files: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray, count: int) -> np.ndarray:
+    """Of each of ``count`` posted vectors, what the pivots that it shares with the query take off the distance."""
+    posted = np.concatenate([files[pivot][0] for pivot in order])
+    taken = np.concatenate([np.minimum(files[pivot][1], len(order) - at) for at, pivot in enumerate(order)])
+    return np.bincount(posted, taken, count)
 
 
 def cutoffs(asked: np.ndarray, known: np.ndarray, chosen: np.ndarray, k: int, prefix: int, rerank: float) -> np.ndarray:
@@ -108,9 +106,8 @@ def cutoffs(asked: np.ndarray, known: np.ndarray, chosen: np.ndarray, k: int, pr
     depth, count = min(prefix, len(chosen)), max(4 * k, int(np.ceil(len(known) * rerank)))
     if count >= len(known):
         return np.full(len(asked), -1)
-    files, shared = inverted(prefixes(known, chosen, depth), len(chosen)), np.empty(len(known), np.int32)
-    place = len(known) - count
-    return np.array([np.partition(footrule(files, order, shared), place)[place] for order in prefixes(asked, chosen, depth)])
+    files, place = inverted(prefixes(known, chosen, depth), len(chosen)), len(known) - count
+    return np.array([np.partition(footrule(files, order, len(known)), place)[place] for order in prefixes(asked, chosen, depth)])
 
 
 def _asked(queries: DataFrame, fitted: Broadcast, k: int, prefix: int, rerank: float) -> DataFrame:
@@ -148,9 +145,8 @@ def _search(fitted: Broadcast, k: int, prefix: int):
             own, members, cuts, files = prepared[n]
             orders = prefixes(asked, chosen, depth) if depth else None
             out_queries, out_ids, out_scores = [], [], []
-            shared = np.empty(len(own), np.int32)
             for i, query in enumerate(query_ids):
-                places = np.arange(len(own)) if least[i] < 0 else np.flatnonzero(footrule(files, orders[i], shared) >= least[i])
+                places = np.arange(len(own)) if least[i] < 0 else np.flatnonzero(footrule(files, orders[i], len(own)) >= least[i])
                 sizes = cuts[places + 1] - cuts[places]
                 each = members[np.repeat(cuts[places + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
                 # not a matrix product, whose last bits depend on a row's place
