@@ -11,8 +11,9 @@ from fieldspan.operators.storage import cut
 
 
 def buckets(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """The rows with bucket: at most ``most`` consecutive ranges of equal size, from 1."""
-    return ranked(rows, order).withColumn("bucket", F.floor((F.col("place") - 1) * F.least(F.lit(most), F.col("total")) / F.col("total")).cast("long") + 1)
+    """The rows with bucket, from 1: at most ``most`` consecutive ranges of equal size, of which the last may be smaller."""
+    size = F.ceil(F.col("total") / most)
+    return ranked(rows, order).withColumn("bucket", F.floor((F.col("place") - 1) / size).cast("long") + 1)
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
@@ -40,14 +41,74 @@ def learning_curve(rows: DataFrame, order: str, measures: dict[str, Column], mos
     return found.groupBy("bucket").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("size"), *[m.alias(k) for k, m in measures.items()])
 
 
-def tenths(points: DataFrame, order: str, measure: str) -> DataFrame:
-    """The mean of the first and last max(1, n // 10) points and the relative change, null on a base of 0."""
+def weighted(measure: str, size: str = "size") -> Column:
+    """The mean of a measure over points of several documents each; 0 without documents."""
+    return F.coalesce(F.sum(F.coalesce(F.col(measure), F.lit(0.0)) * F.col(size)) / F.nullif(F.sum(size), F.lit(0)), F.lit(0.0))
+
+
+def measured(measure: str, size: str = "size") -> Column:
+    """As ``weighted``, null counting as 0, but null where no point has the measure."""
+    return F.when(F.count(measure) > 0, weighted(measure, size))
+
+
+def scored(measure: str, size: str = "size") -> Column:
+    """The mean over the points that have the measure, null without any."""
+    known = F.when(F.col(measure).isNotNull(), F.col(size))
+    return F.sum(F.col(measure) * F.col(size)) / F.nullif(F.sum(known), F.lit(0))
+
+
+def merged_points(points: DataFrame, order: str, means: list[str], measured_means: list[str], scored_means: list[str], most: int = 60) -> DataFrame:
+    """The points of a curve in at most ``most`` buckets: documents and generators of the last, sizes added, waves listed, averages by size.
+
+    points: order, documents, size, generators, wave and the measures.
+    """
+    found = buckets(points, order, most)
+    measures = [weighted(c).alias(c) for c in means] + [measured(c).alias(c) for c in measured_means] + [scored(c).alias(c) for c in scored_means]
+    return found.groupBy("bucket").agg(
+        F.max_by("documents", "place").alias("documents"),
+        F.sum("size").alias("size"),
+        F.max_by("generators", "place").alias("generators"),
+        F.array_join(F.array_sort(F.collect_set("wave")), ",").alias("waves"),
+        *measures,
+    )
+
+
+def tenths(points: DataFrame, order: str, measure: str, size: str | None = None) -> DataFrame:
+    """The mean of the first and last max(1, n // 10) points, by their ``size`` if there is one, and the relative change, null on a base of 0."""
     found = ranked(points, order)
     share = F.greatest(F.lit(1), F.floor(F.col("total") / 10))
-    ends = found.agg(F.avg(F.when(F.col("place") <= share, F.col(measure))).alias("first_tenth"), F.avg(F.when(F.col("place") > F.col("total") - share, F.col(measure))).alias("last_tenth"))
+    weight = F.col(size) if size else F.lit(1)
+    mean = lambda within: F.sum(F.when(within, F.col(measure) * weight)) / F.nullif(F.sum(F.when(within, weight)), F.lit(0))
+    ends = found.agg(mean(F.col("place") <= share).alias("first_tenth"), mean(F.col("place") > F.col("total") - share).alias("last_tenth"))
     return ends.withColumn("change", F.when(F.col("first_tenth") != 0, F.col("last_tenth") / F.col("first_tenth") - 1))
 
 
+def field_windows(documents: DataFrame, values: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """field, documents, found, values, generated, mean_confidence over documents that didn't fail.
+
+    documents: doc, status, schemas (array). values: doc, field ("Schema.name"),
+    method, confidence. ``documents`` counts those with the field's schema, ``found``
+    those with a value of it; values of a schema the document doesn't have don't
+    count. Fields of ``named`` are there without values too.
+    """
+    ran = documents.filter(F.col("status") != "failed")
+    schema = F.split_part(F.col("field"), F.lit("."), F.lit(1))
+    counts = ran.select("doc", F.explode(F.array_distinct("schemas")).alias("schema")).groupBy("schema").agg(F.count("*").alias("documents"))
+    kept = values.join(ran.select("doc", "schemas"), "doc").filter(F.array_contains("schemas", schema))
+    told = kept.groupBy("field").agg(F.count_distinct("doc").alias("found"), F.count("*").alias("values"), F.count_if(F.col("method") == "generated").alias("generated"), F.avg("confidence").alias("mean_confidence"))
+    if named is not None:
+        told = told.join(named.select("field").distinct(), "field", "full_outer")
+    joined = told.withColumn("schema", schema).join(counts, "schema", "left")
+    return joined.select("field", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "found", "values", "generated")], "mean_confidence")
+
+
+def field_drift(observed: DataFrame) -> DataFrame:
+    """field, records, found, none_rate, fallback_rate, mean_confidence of observations (field, found, method, confidence), each record of a schema."""
+    told = observed.groupBy("field").agg(F.count("*").alias("records"), F.count_if("found").alias("found"), F.count_if(F.col("method") == "generated").alias("generated"), F.avg("confidence").alias("mean_confidence"))
+    fallback = F.when(F.col("found") > 0, F.col("generated") / F.col("found")).otherwise(F.lit(0.0))
+    return told.select("field", "records", "found", (1 - F.col("found") / F.col("records")).alias("none_rate"), fallback.alias("fallback_rate"), "mean_confidence")
+
+
 def method_shares(rows: DataFrame, method: str, by: Sequence[str] = ()) -> DataFrame:
     """Count and share of each method, of all rows or by group."""
     counted = rows.groupBy(*by, method).agg(F.count("*").alias("n"))

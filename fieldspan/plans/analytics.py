@@ -35,7 +35,7 @@ def bootstrap_mean(spark, sf_dir):
 
 @register("""
 WITH o AS (SELECT *, row_number() OVER (ORDER BY event_id) AS place, count(*) OVER () AS total FROM events),
-b AS (SELECT *, CAST(floor((place - 1) * least(60, total) / total) AS BIGINT) + 1 AS bucket FROM o)
+b AS (SELECT *, (place - 1) // CAST(ceil(total / 60) AS BIGINT) + 1 AS bucket FROM o)
 SELECT bucket, min(place) AS first, max(place) AS last, count(*) AS size, round(avg(value), 6) AS mean_value,
   CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS errors FROM b GROUP BY bucket""")
 def learning_curve(spark, sf_dir):
@@ -52,6 +52,52 @@ def summary_tiles(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
+@register("""
+WITH p AS (SELECT row_number() OVER (ORDER BY event_id) AS place, count(*) OVER () AS total, event_id * 3 AS documents, event_id % 4 AS size, event_id // 7 AS generators, event_type AS wave, value AS cost, CASE WHEN event_id % 500 < 200 THEN value / 2 END AS learning, CASE WHEN event_id % 3 = 0 THEN user_id / 1000.0 END AS accuracy FROM events),
+b AS (SELECT *, (place - 1) // CAST(ceil(total / 60) AS BIGINT) + 1 AS bucket FROM p)
+SELECT bucket, max_by(documents, place) AS documents, CAST(sum(size) AS BIGINT) AS size, max_by(generators, place) AS generators, string_agg(DISTINCT wave, ',' ORDER BY wave) AS waves, round(sum(cost * size) / sum(size), 6) AS cost,
+  CASE WHEN count(learning) > 0 THEN round(sum(coalesce(learning, 0) * size) / sum(size), 6) END AS learning, round(sum(accuracy * size) / nullif(sum(size) FILTER (accuracy IS NOT NULL), 0), 6) AS accuracy FROM b GROUP BY bucket""")
+def merged_points(spark, sf_dir):
+    at = F.col("event_id")
+    points = load(spark, sf_dir, "events").select(
+        at, (at * 3).alias("documents"), (at % 4).alias("size"), F.floor(at / 7).alias("generators"), F.col("event_type").alias("wave"), F.col("value").alias("cost"),
+        F.when(at % 500 < 200, F.col("value") / 2).alias("learning"), F.when(at % 3 == 0, F.col("user_id") / 1000).alias("accuracy"),
+    )
+    found = metrics.merged_points(points, "event_id", ["cost"], ["learning"], ["accuracy"])
+    return found.withColumns({c: F.round(c, 6) for c in ("cost", "learning", "accuracy")})
+
+
+_STATS = """
+WITH d AS (SELECT DISTINCT o_custkey AS doc, CASE WHEN o_custkey % 6 = 0 THEN 'failed' ELSE 'ok' END AS status, o_custkey % 2 = 0 AS twice FROM orders),
+v AS (SELECT o_custkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'A.' ELSE 'B.' END || o_orderstatus AS field, CASE WHEN o_orderkey % 5 = 0 THEN 'generated' ELSE 'selected' END AS method, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 10 / 10.0 END AS confidence FROM orders)
+"""
+
+
+def _field_values(spark, sf_dir):
+    key = F.col("o_orderkey")
+    orders = load(spark, sf_dir, "orders")
+    field = F.concat(F.when(key % 2 == 0, "A.").otherwise("B."), F.col("o_orderstatus"))
+    return orders.select(F.col("o_custkey").alias("doc"), field.alias("field"), F.when(key % 5 == 0, "generated").otherwise("selected").alias("method"), F.when(key % 3 != 0, key % 10 / 10).alias("confidence"))
+
+
+@register(_STATS + """, k AS (SELECT v.* FROM v JOIN d USING (doc) WHERE status = 'ok' AND (twice OR starts_with(field, 'A.'))),
+n AS (SELECT (SELECT count(*) FROM d WHERE status = 'ok') AS a, (SELECT count(*) FROM d WHERE status = 'ok' AND twice) AS b)
+SELECT field, CASE WHEN starts_with(field, 'A.') THEN a ELSE b END AS documents, count(DISTINCT doc) AS found, count(*) AS "values", count(*) FILTER (method = 'generated') AS generated, round(avg(confidence), 9) AS mean_confidence FROM k, n GROUP BY field, a, b
+UNION ALL SELECT 'A.never', a, 0, 0, 0, NULL FROM n""")
+def field_windows(spark, sf_dir):
+    doc = F.col("o_custkey")
+    schemas = F.when(doc % 2 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))
+    documents = load(spark, sf_dir, "orders").select(doc).distinct().select(doc.alias("doc"), F.when(doc % 6 == 0, "failed").otherwise("ok").alias("status"), schemas.alias("schemas"))
+    found = metrics.field_windows(documents, _field_values(spark, sf_dir), spark.createDataFrame([("A.never",), ("A.O",)], "field string"))
+    return found.withColumn("mean_confidence", F.round("mean_confidence", 9))
+
+
+@register(_STATS + """SELECT field, count(*) AS records, count(confidence) AS found, round(1 - count(confidence) / count(*), 9) AS none_rate, round(count(*) FILTER (method = 'generated') / count(confidence), 9) AS fallback_rate, round(avg(confidence), 9) AS mean_confidence FROM v GROUP BY 1""")
+def field_drift(spark, sf_dir):
+    found = metrics.field_drift(_field_values(spark, sf_dir).withColumn("found", F.col("confidence").isNotNull()))
+    return found.withColumns({c: F.round(c, 9) for c in ("none_rate", "fallback_rate", "mean_confidence")})
+
+
 @register("SELECT event_type AS method, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY 1")
 def method_mix(spark, sf_dir):
     found = metrics.method_shares(load(spark, sf_dir, "events").withColumnRenamed("event_type", "method"), "method")
