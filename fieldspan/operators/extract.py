@@ -31,7 +31,8 @@ def lexical_judge(said: Column, kind: Column, field: Field) -> Column:
 def parsed(markup: str | None) -> list[tuple]:
     root = html.Cleaner().clean(html.parse(markup))
     lang = html.language(markup)
-    return [(at, kind, section, said, lang) for at, _, kind, section, said in statements.statements_of(root)]
+    own = (lang or "en").replace("_", "-").split("-")[0].lower()
+    return [(at, kind, section, said, lang) for at, _, kind, section, said in statements.statements_of(root, own)]
 
 
 def value(field: Field, said: Column, decimal: Column) -> Column:

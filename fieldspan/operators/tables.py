@@ -47,21 +47,42 @@ def row_roles(cells: DataFrame) -> DataFrame:
     """doc, table, row, role of every row with text: band, header or body.
 
     A table of headers alone, or without any, is all body. A data cell without
-    letter or digit doesn't make the first row a body row if that names columns.
+    letter or digit doesn't make the first row a body row if that names columns; a
+    blank row and a row that a data cell spans into are body rows. One shuffle, by
+    table: its windows by row and by column and the aggregation keep that partitioning.
     """
-    own = cells.filter(filled(F.col("text")))
-    whole = own.groupBy(*KEY).agg(
-        F.max(F.col("col") + F.col("col_span")).alias("__width"), F.min("row").alias("__top"), F.every("header").alias("__all"), F.some("header").alias("__any"), F.min_by(F.struct("row"), "row").alias("__first")
+    table, by_row, by_column = (Window.partitionBy(*KEY, *more) for more in ((), ("row",), ("col",)))
+    has, data = F.col("__has"), F.col("__has") & ~F.col("header")
+    # a filled data cell stands in each of its columns; the first is the cell itself
+    columns = F.when(data, F.sequence("col", F.col("col") + F.col("col_span") - 1)).otherwise(F.array("col"))
+    spread = cells.select(*KEY, "row", "row_span", "col_span", "header", "text", F.col("col").alias("__first"), filled(F.col("text")).alias("__has"), F.col("col")).withColumn("col", F.explode(columns))
+    own = F.col("col") == F.col("__first")
+    stop = F.when(own & has, F.col("__first") + F.col("col_span"))
+    marked = spread.withColumns(
+        {
+            "__width": F.max(stop).over(table),
+            "__stop": F.max(stop).over(by_row),
+            "__top": F.min(F.when(has, F.col("row"))).over(table),
+            "__all": F.min(F.when(has, F.col("header"))).over(table),
+            "__any": F.max(F.when(has, F.col("header"))).over(table),
+            "__heads": F.min(F.when(has, F.col("header"))).over(by_row),
+            "__column": F.max(data).over(by_column),
+        }
+    )
+    named = F.max(own & has & F.col("header") & (F.col("row") == F.col("__top")) & (F.col("__first") > 0)).over(table)
+    states = data & ((F.col("row") != F.col("__top")) | ~F.col("__named") | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    blank = ~has & ~F.col("header") & F.coalesce("__heads", F.lit(False)) & F.col("__column") & (F.col("__first") >= F.col("__stop"))
+    kept = marked.withColumn("__named", named).filter(own)
+    # a stating cell counts for each row it spans, without being a cell of those below its own
+    rows = F.when(states, F.sequence("row", F.col("row") + F.col("row_span") - 1)).otherwise(F.array("row"))
+    below = kept.select(*KEY, "row", F.explode(rows).alias("at"), (states | blank).alias("data"), (has & F.col("header")).alias("header"), has.alias("has"), "__first", "__width", "__all", "__any")
+    here = (F.col("row") == F.col("at")) & F.col("has")
+    told = below.groupBy(*KEY, F.col("at").alias("row")).agg(
+        F.some("data").alias("data"), F.count_if(here).alias("n"), F.some(here & F.col("header")).alias("header"), F.min(F.when(here, F.col("__first"))).alias("col"), F.max("__width").alias("width"), F.some("__all").alias("all"), F.some("__any").alias("any")
     )
-    marked = own.join(whole, list(KEY))
-    named = marked.groupBy(*KEY).agg(F.some(F.col("header") & (F.col("row") == F.col("__top")) & (F.col("col") > 0)).alias("__named"))
-    marked = marked.join(named, list(KEY))
-    states = ~F.col("header") & ((F.col("row") != F.col("__top")) | ~F.col("__named") | F.col("text").rlike(r"[\p{L}\p{N}]"))
-    data = marked.filter(states).select(*KEY, F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1)).alias("row")).union(blank_rows(cells)).distinct().withColumn("__data", F.lit(True))
-    rows = marked.groupBy(*KEY, "row").agg(F.some("header").alias("__header"), F.count("*").alias("__n"), F.min("col").alias("__col"), F.max("__width").alias("__width"), F.first("__all").alias("__all"), F.first("__any").alias("__any"))
-    headed = F.col("__any") & ~F.col("__all") & F.col("__data").isNull() & F.col("__header")
-    band = (F.col("__n") == 1) & (F.col("__col") == 0) & (F.col("__width") > 1)
-    return rows.join(data, [*KEY, "row"], "left").select(*KEY, "row", F.when(headed & band, "band").when(headed, "header").otherwise("body").alias("role"))
+    headed = F.col("any") & ~F.col("all") & ~F.col("data") & F.col("header")
+    band = (F.col("n") == 1) & (F.col("col") == 0) & (F.col("width") > 1)
+    return told.filter("n > 0").select(*KEY, "row", F.when(headed & band, "band").when(headed, "header").otherwise("body").alias("role"))
 
 
 def header_shape(cells: DataFrame) -> DataFrame:
