@@ -55,40 +55,73 @@ def is_pair(text: str) -> bool:
     return bool(m) and len(m.group(1).split()) <= 8 and any(c.isalpha() for c in m.group(1)) and "://" not in text
 
 
-def table_statements(cells: list[tuple[int, int, int, int, bool, str]]) -> Iterator[tuple[str, str]]:
-    """(kind, text): `group › row · column: value` for every value cell, and the headers.
+Cell = tuple[int, int, int, int, bool, str]
+
+
+def roles(cells: list[Cell]) -> dict[int, str]:
+    """band, header or body for each row with text, as ``tables.row_roles`` says it of a relation."""
+    full = [c for c in cells if c[5].strip()]
+    out = {c[0]: "body" for c in full}
+    if len({c[4] for c in full}) < 2:
+        return out
+    width, top = max(c[1] + c[3] for c in full), min(out)
+    naming = any(c[4] and c[0] == top and c[1] for c in full)
+    body, heads, stop, columns = set(), {}, {}, set()
+    for row, at, down, across, header, words in full:
+        stop[row] = max(stop.get(row, 0), at + across)
+        heads[row] = heads.get(row, True) and header
+        if not header:
+            columns.update(range(at, at + across))
+            if row != top or not naming or any(map(str.isalnum, words)):
+                body.update(range(row, row + down))
+    body.update(row for row, at, _, _, header, words in cells if not header and not words.strip() and heads.get(row) and at >= stop[row] and at in columns)
+    for row in out:
+        own = [c for c in full if c[0] == row]
+        if row not in body and any(c[4] for c in own):
+            out[row] = "band" if len(own) == 1 and own[0][4] and not own[0][1] and width > 1 else "header"
+    return out
+
 
-    Rows of headers alone above the values are the columns' names; a row with one
-    wide header is a band; the first header of other rows is the row's name.
+def table_statements(cells: list[Cell]) -> Iterator[tuple[str, str]]:
+    """(kind, text): `band › row · column: value` for every value cell, and the headers.
+
+    Header rows stack while no body row came between, else they replace those above;
+    a band prefixes the rows below it up to the next one; the first header of a body
+    row, or its first cell under column headers, is the row's name, and goes with
+    every row that it spans.
     """
-    by_row: dict[int, list[tuple[int, int, int, int, bool, str]]] = {}
-    for cell in cells:
-        by_row.setdefault(cell[0], []).append(cell)
-    width = max((c[1] + c[3] for c in cells), default=0)
+    role = roles(cells)
+    by_row: dict[int, list[Cell]] = {}
+    for cell in sorted(cells):
+        if cell[5].strip():
+            for row in range(cell[0], cell[0] + (cell[2] if cell[4] and not cell[1] else 1)):
+                by_row.setdefault(row, []).append(cell)
+    mixed = len({c[4] for c in cells if c[5].strip()}) == 2
     columns: dict[int, list[str]] = {}
-    band, body, held = "", False, []
-    for _, row in sorted(by_row.items()):
-        filled = [c for c in row if c[5]]
-        if not filled:
-            continue
-        if len(filled) == 1 and filled[0][4] and ((filled[0][3] >= width > 1 and (body or columns)) or (len(row) > 1 and body)):
-            band = filled[0][5]
-        elif all(c[4] for c in filled) and not body:
-            for _, at, _, across, _, words in filled:
+    band, last = "", ""
+    for number in sorted(by_row):
+        row, kind = sorted(by_row[number], key=lambda c: c[1]), role.get(number, "body")
+        if kind == "band":
+            band = row[0][5]
+        elif kind == "header":
+            if last == "body":
+                columns = {}
+            for _, at, _, across, _, words in row:
                 for i in range(at, at + across):
                     if words not in columns.setdefault(i, []):
                         columns[i].append(words)
-            held = [c[5] for c in filled]
-            yield from (("table_header", h) for h in held)
+            yield from (("table_header", c[5]) for c in row)
         else:
-            body = True
-            named = len(filled) > 1 and (filled[0][4] or (bool(columns) and filled[0][1] == 0))
-            label = filled[0][5] if named else ""
-            for _, at, _, _, header, words in filled[1 if named else 0 :]:
+            last = kind
+            if mixed and all(c[4] for c in row):
+                continue  # labels without a value of their own
+            named = len(row) > 1 and (row[0][4] or (bool(columns) and row[0][1] == 0))
+            label = row[0][5] if named else ""
+            for _, at, _, _, _, words in row[1 if named else 0 :]:
                 name = " › ".join(x for x in (band, label) if x)
-                column = " ".join(columns.get(at, []))
-                prefix = " · ".join(x for x in (name, column) if x)
+                prefix = " · ".join(x for x in (name, " ".join(columns.get(at, []))) if x)
                 yield "table_cell", f"{prefix}: {words}" if prefix else words
+        last = kind
 
 
 def statements(markup: str | None, language: str = "en") -> list[tuple[int, str, str, str, str]]:

@@ -46,3 +46,23 @@ def test_row_roles(spark):
     assert found == {k: v for k, v in wanted.items() if v}
     assert {r for v in wanted.values() for r in v.values()} == {"band", "header", "body"}
     assert tables.row_roles(df.limit(0)).count() == 0 and tables.header_shape(df.limit(0)).count() == 0
+
+
+def test_statements_of_tables():
+    from fieldspan.operators.statements import roles, table_statements
+
+    head = [(0, 0, 1, 1, True, ""), (0, 1, 1, 1, True, "Small"), (0, 2, 1, 1, True, "Large")]
+    body = [(1, 0, 1, 3, True, "Engine"), (2, 0, 1, 1, True, "Power"), (2, 1, 1, 1, False, "50"), (2, 2, 1, 1, False, "70"), (3, 0, 1, 1, True, "Tow"), (3, 1, 1, 1, False, ""), (3, 2, 1, 1, False, "")]
+    again = [(4, 1, 1, 1, True, "Old"), (5, 0, 2, 1, True, "Mass"), (5, 1, 1, 1, False, "9"), (6, 1, 1, 1, False, "8")]
+    assert roles(head + body + again) == {0: "header", 1: "band", 2: "body", 3: "body", 4: "header", 5: "body", 6: "body"}
+    said = [t for k, t in table_statements(head + body + again) if k == "table_cell"]
+    assert said == ["Engine › Power · Small: 50", "Engine › Power · Large: 70", "Engine › Mass · Old: 9", "Engine › Mass · Old: 8"]
+
+
+def test_roles_agree_with_the_relation():
+    from fieldspan.operators.statements import roles
+
+    draw = random.Random(8)
+    for _ in range(3000):
+        cells = [(r, c, draw.choice([1, 1, 2]), 1, draw.random() < 0.5, draw.choice(["", "●", "Name", "150"])) for r in range(draw.randint(1, 4)) for c in range(3)]
+        assert roles(cells) == plain_roles([(*c[:5], None, c[5]) for c in cells])
