@@ -9,7 +9,8 @@ Plan: one pass over the documents without any shuffle; a task holds one batch of
 texts and a bounded cache of encoded words. A sequence id is bucket << 56 |
 partition << 36 | number in the partition: unique without any global counter.
 It needs an input whose partitions keep their rows when a task runs again, such
-as files; after a shuffle, write the table first.
+as files; after a shuffle, write the table first. More than 2^20 partitions are an
+error, as their ids would meet.
 
 Ids are those the tokenizer gives for the whole text. Its pattern never joins
 what white space parts, so texts are cut at spaces, and each distinct chunk is
@@ -136,10 +137,13 @@ def pack(documents: DataFrame, length: int = LENGTH, path: str | None = None, wi
     if length & (length - 1):
         raise ValueError("the length is a power of two")
     fields = FIELDS + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
-    schema, where = pa.schema(fields), path or tokenizer_path()
+    schema = pa.schema(fields)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        encoder, partition, numbers = Encoder(where), TaskContext.get().partitionId(), [0] * 64
+        # the path is the executor's own
+        encoder, partition, numbers = Encoder(path or tokenizer_path()), TaskContext.get().partitionId(), [0] * 64
+        if partition >> 20:
+            raise ValueError("sequence ids have room for 2^20 partitions")
         tail = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
