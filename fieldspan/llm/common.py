@@ -10,13 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldspan.operators.storage import cut, drop, scratch, shared_dir
 
-__all__ = ["batch_of", "cut", "drop", "scratch", "shared_dir", "table", "to_batches"]
+__all__ = ["batch_of", "cut", "drop", "free", "scratch", "shared_dir", "table", "to_batches"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(taken: Iterable[str], name: str) -> str:
+    """The name, underscores before it until no column has it, in any case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def to_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows."""
     held: list[tuple] = []

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspan.llm.common import cut, table
+from fieldspan.llm.common import cut, free, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_RATE = 3.0
@@ -71,28 +71,32 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(documents: DataFrame, max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
-    """The documents with source_size, target and copies, the times each is emitted."""
+def _planned(documents: DataFrame, max_rate: float, seed: str) -> tuple[DataFrame, str]:
+    """The documents with struct<source_size, target, copies> behind their columns, and its name."""
+    named, plan = free(documents.columns, "__source"), free(documents.columns, "__plan")
     planned = source_targets(documents.select("source", "text"), max_rate)
-    targets = cut(planned.select(F.col("source").alias("__source"), F.struct("source_size", "target").alias("__plan")))
+    targets = cut(planned.select(F.col("source").alias(named), F.struct("source_size", "target").alias(plan)))
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("__plan.source_size") > 0, F.col("__plan.target") / F.col("__plan.source_size")).otherwise(F.lit(0.0))
+    size, target = F.col(plan)["source_size"], F.col(plan)["target"]
+    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
     extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return (
-        documents.join(targets, documents["source"].eqNullSafe(F.col("__source")), "left")
-        .withColumns({"source_size": F.col("__plan.source_size"), "target": F.col("__plan.target"), "copies": F.floor(rate) + extra})
-        .drop("__source", "__plan")
-    )
+    joined = documents.join(targets, documents["source"].eqNullSafe(F.col(named)), "left")
+    taken = F.struct(size.alias("source_size"), target.alias("target"), (F.floor(rate) + extra).alias("copies"))
+    return joined.withColumn(plan, taken).drop(named), plan
+
+
+def mix(documents: DataFrame, max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
+    """The documents with source_size, target and copies, the times each is emitted; these replace columns of their names."""
+    planned, plan = _planned(documents, max_rate, seed)
+    return planned.withColumns({c: F.col(plan)[c] for c in ("source_size", "target", "copies")}).drop(plan)
 
 
 def emit(documents: DataFrame, max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the input's columns."""
-    columns = documents.columns
-    mixed = mix(documents, max_rate, seed).filter(F.col("copies") > 0)
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        *[mixed[c] for c in columns if c not in ("source_size", "target", "copies")]
-    )
+    """The mix itself: each document as often as it is taken, with all of the input's columns."""
+    planned, plan = _planned(documents, max_rate, seed)
+    kept = planned.filter(F.col(plan)["copies"] > 0)
+    return kept.withColumn(plan, F.explode(F.sequence(F.lit(1), F.col(plan)["copies"]))).select(*documents.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspan.llm.common import table
+from fieldspan.llm.common import free, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret", "key")
@@ -179,10 +179,11 @@ def redact(documents: DataFrame) -> DataFrame:
         return F.concat(F.substring(text, F.lit(1), F.element_at(spans, 1)["start"]), pieces)
 
     columns = documents.columns
-    ordered = F.array_sort(F.transform(F.col("__spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    held = free(columns, "__spans")
+    ordered = F.array_sort(F.transform(F.col(held), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     merged = F.aggregate(ordered, F.array().cast(kept_type), merge)
-    found = documents.withColumn("__spans", let(F.coalesce(F.col("text"), F.lit("")), lambda t: F.concat(*[spans_of(t, k) for k in KINDS])))
-    clean = F.when(F.size("__spans") > 0, let(merged, lambda m: rebuilt(F.col("text"), m))).otherwise(F.col("text"))
+    found = documents.withColumn(held, let(F.coalesce(F.col("text"), F.lit("")), lambda t: F.concat(*[spans_of(t, k) for k in KINDS])))
+    clean = F.when(F.size(held) > 0, let(merged, lambda m: rebuilt(F.col("text"), m))).otherwise(F.col("text"))
     return found.withColumn("text", clean).select(*columns)
 
 

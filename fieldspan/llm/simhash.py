@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspan.llm.common import cut, table
+from fieldspan.llm.common import cut, free, table
 
 SHINGLE, SEED, BITS = 4, 42, 4
 SHARED = 8 - BITS
@@ -233,25 +233,26 @@ def representatives(documents: DataFrame, shingle: int = SHINGLE, limit: int = L
     count as one row. The window's limit works before its shuffle, and the join
     keeps its partitioning.
     """
+    names = documents.columns
+    fp, own, row = (free(names, n) for n in ("__fp", "__key", "__row"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)).alias("__key")
     found = near_duplicates(documents, shingle, limit).select(key, "fp", "component_id")
     # rows without any id in their component share no component_id: their fingerprint's root is unknown here, so it names them
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = found.groupBy("component_id", group.alias("none")).agg(F.min(F.struct("__key", "fp")).alias("kept")).select("kept.__key", F.col("kept.fp").alias("__fp"))
-    names = documents.columns
+    kept = found.groupBy("component_id", group.alias("none")).agg(F.min(F.struct("__key", "fp")).alias("kept")).select(F.col("kept.__key").alias(own), F.col("kept.fp").alias(fp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
             prints = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*names, fp])
 
     from pyspark.sql.types import LongType, StructType
 
-    rows = documents.mapInArrow(run, StructType([*documents.schema.fields]).add("__fp", LongType())).withColumn("__key", key)
-    first = Window.partitionBy("__key", "__fp").orderBy(F.lit(1))
-    once = rows.withColumn("__row", F.row_number().over(first)).filter("__row = 1")
-    return once.join(kept, ["__key", "__fp"], "left_semi").select(*names)
+    rows = documents.mapInArrow(run, StructType([*documents.schema.fields]).add(fp, LongType())).withColumn(own, key)
+    first = Window.partitionBy(own, fp).orderBy(F.lit(1))
+    once = rows.withColumn(row, F.row_number().over(first)).filter(F.col(row) == 1)
+    return once.join(kept, [own, fp], "left_semi").select(*names)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
