@@ -44,7 +44,7 @@ from fieldspan.llm.common import table
 from fieldspan.llm.topk import ranked
 
 PIVOTS, PREFIX, RERANK, K, EVERY = 256, 64, 0.3, 20, 20
-SAMPLE, FEW = 4096, 200
+SAMPLE, FEW = 2048, 200
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -127,6 +127,30 @@ def _asked(queries: DataFrame, fitted: Broadcast, k: int, prefix: int, rerank: f
     return queries.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<double>, cutoff long")
 
 
+def _nearest(own, members, cuts, ids, places, asked, query, k, longest) -> tuple[np.ndarray, np.ndarray]:  # noqa: PLR0913
+    """Ids and exact scores of the places that can be among the k nearest, an id's own rows left out.
+
+    All places are scored by a matrix product, whose last bits depend on a row's
+    place; those within its error of the k-th are scored again, summed in one order.
+    """
+
+    def exact(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = cuts[some + 1] - cuts[some]
+        each = members[np.repeat(cuts[some + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
+        scores = np.repeat((own[some] * asked).sum(axis=1), sizes)
+        other = ids[each] != query
+        return ids[each][other], scores[other]
+
+    near, take = own[places] @ asked, 2 * k
+    while take < len(places):
+        found, scores = exact(places[near >= np.partition(near, len(near) - take)[len(near) - take]])
+        kept = best(scores, found, k)
+        if len(kept) == k:
+            return exact(places[near >= scores[kept[-1]] - 1e-11 * longest * np.linalg.norm(asked)])
+        take *= 4  # repeated ids hold the places
+    return exact(places)
+
+
 def _search(fitted: Broadcast, k: int, prefix: int):
     from fieldspan.llm.blocks import matrices
 
@@ -141,18 +165,13 @@ def _search(fitted: Broadcast, k: int, prefix: int):
             if n not in prepared:
                 first, members, cuts = distinct(rows)
                 own = rows[first]
-                prepared[n] = own, members, cuts, inverted(prefixes(own, chosen, depth), len(chosen)) if depth else []
-            own, members, cuts, files = prepared[n]
+                prepared[n] = own, members, cuts, inverted(prefixes(own, chosen, depth), len(chosen)) if depth else [], np.linalg.norm(own, axis=1).max()
+            own, members, cuts, files, longest = prepared[n]
             orders = prefixes(asked, chosen, depth) if depth else None
             out_queries, out_ids, out_scores = [], [], []
             for i, query in enumerate(query_ids):
                 places = np.arange(len(own)) if least[i] < 0 else np.flatnonzero(footrule(files, orders[i], len(own)) >= least[i])
-                sizes = cuts[places + 1] - cuts[places]
-                each = members[np.repeat(cuts[places + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
-                # not a matrix product, whose last bits depend on a row's place
-                scores = np.repeat((own[places] * asked[i]).sum(axis=1), sizes)
-                other = ids[each] != query
-                found, scores = ids[each][other], scores[other]
+                found, scores = _nearest(own, members, cuts, ids, places, asked[i], query, k, longest)
                 kept = best(scores, found, k)
                 out_queries.append(np.full(len(kept), query))
                 out_ids.append(found[kept])
