@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from fieldspan.llm import mixing, pii, simhash, toxicity
+from fieldspan.llm import mixing, pii, simhash, stages, toxicity
 from tests.llm.test_pii import base
 
 
@@ -57,3 +58,12 @@ def test_mix_and_pieces(steps):
 
 def test_run_is_all_stages(spark, steps):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == steps[-1].count()
+
+
+def test_toxicity_stage_learns_from_every_labelled_row(spark, tmp_path):
+    """A word that marks only rows of greater hash, which a sample of the least hashes never met, is rejected too."""
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).alias("bad"), (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) >= 1 << 29).alias("late"))
+    rows.select("doc_id", F.col("bad").cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = rows.select("doc_id", F.when(~F.col("bad"), "mild calm").when(F.col("late"), "zorkblat calm").otherwise("vile calm").alias("text"))
+    kept = {r["text"]: r["count"] for r in stages.reject_toxic(spark, docs, str(tmp_path)).groupBy("text").count().collect()}
+    assert kept == {"mild calm": 24_000}
