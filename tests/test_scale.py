@@ -23,3 +23,11 @@ def test_batches_of_pages_end_early(spark):
     kept = html.per_page(pages, "key", "said", "at int, text string", rows, keep=("said",))
     assert kept.count() == 1000 and {(x["key"], x["said"], x["text"][:4]) for x in kept.filter("key IN (7, 12) AND at = 3").collect()} == {(7, None, "none"), (12, "12", "1212")}
     assert html.per_page(pages, "key", "said", "at int", lambda t: []).count() == 0
+
+
+def test_leaves_keep_what_is_wanted_of_their_blob(spark):
+    blobs = spark.createDataFrame([(1, "a", '{"x": [1, " "]}'), (1, "b", '{"x": 2}'), (2, "c", "{bad"), (3, "d", None)], "key long, source string, blob string")
+    found = embedded.flatten(blobs, "key", keep=("source",))
+    assert sorted(map(tuple, found.collect())) == [(1, "a", "$.x[0]", "$.x[]", "1"), (1, "b", "$.x", "$.x", "2")]
+    shown = plan(catalogue.QUERIES["embedded_data"](spark, SF))
+    assert "Join" not in shown and "RepartitionByExpression" in shown
