@@ -10,6 +10,7 @@ fields and makes the record.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def lexical_judge(said: Column, kind: Column, field: Field) -> Column:
     return lexical(said, F.lit(field.label()))
 
 
-def parsed(markup: str | None) -> list[tuple]:
-    root = html.Cleaner().clean(html.parse(markup))
+def parsed(markup: str | None, strict: bool = False) -> list[tuple]:
+    root = html.Cleaner().clean(html.parse(markup, strict))
     lang = html.language(markup)
     own = (lang or "en").replace("_", "-").split("-")[0].lower()
     return [(at, kind, section, said, lang) for at, _, kind, section, said in statements.statements_of(root, own)]
@@ -53,14 +54,15 @@ def value(field: Field, said: Column, decimal: Column) -> Column:
     return F.get(F.filter(options, lambda o: text.fold(o) == text.fold(raw)), F.lit(0))
 
 
-def extract(pages: DataFrame, key: str, markup: str, schema: Schema, judge: Judge = lexical_judge, threshold: float = 0.0) -> DataFrame:
+def extract(pages: DataFrame, key: str, markup: str, schema: Schema, judge: Judge = lexical_judge, threshold: float = 0.0, strict: bool = False) -> DataFrame:
     """key, a column a field and complete, for every page; a page that states nothing has a record of nulls.
 
     A statement goes to its likeliest field, if that beats none, and to others of at
     least ``ALSO_P``; of a field's values the surest holds, then the earliest; one
     below the threshold counts as missing. A list field has its distinct values in order.
+    ``strict`` as in ``html.parse``.
     """
-    said = html.per_page(pages, key, markup, "at int, kind string, section string, said string, lang string", parsed)
+    said = html.per_page(pages, key, markup, "at int, kind string, section string, said string, lang string", partial(parsed, strict=strict))
     decimal = locales.convention(locales.canonical_locale(F.col("lang")), "decimal")
     said = said.withColumn("decimal", F.coalesce(decimal, F.lit(".")))
     answer = lambda i, f: F.struct(judge(F.col("said"), F.col("kind"), f).alias("p"), F.lit(-i).alias("ord"), F.lit(f.name).alias("field"))

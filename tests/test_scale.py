@@ -56,3 +56,9 @@ def test_incomplete_references_stand_as_in_the_sql(spark, tmp_path):
     node = html.parse(script, strict=True)
     assert [c.text for n in node.walk() for c in n.children if not c.tag] == ["&amp", "a && b &amp"][::-1] and node.children[1].attrs == {"title": "x&amp&y=1<"}
     assert html.parse("a &amp").words() == "a &"
+
+
+def test_headlines_with_incomplete_references(spark, tmp_path):
+    folder = cut_pages(spark, tmp_path)
+    found = sorted(tuple(r[c] for c in ("page_id", "headline", "amount", "complete")) for r in catalogue.QUERIES["extract_pages"](spark, folder).collect())
+    assert found == by_sql("extract_pages", folder) and found[0][1:] == ("Salt && pepper &amp", 1204.5, True)
