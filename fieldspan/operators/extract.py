@@ -82,6 +82,7 @@ def extract(pages: DataFrame, key: str, markup: str, schema: Schema, judge: Judg
         return F.max_by(F.when(own, F.col("value")), F.when(own, rank)).cast(f.type()).alias(f.name)
 
     found = values.groupBy(key).agg(*[settled(f) for f in schema.fields])
-    records = pages.select(key).join(found, key, "left")
+    # parsed rows are guessed to be as small as the pages' columns: by that guess the records would be broadcast through the driver
+    records = pages.select(key).join(found.hint("merge"), key, "left")
     required = [F.col(f.name).isNotNull() for f in schema.fields if f.required]
     return records.withColumn("complete", F.forall(F.array(*required), lambda x: x) if required else F.lit(True))

@@ -62,3 +62,9 @@ def test_headlines_with_incomplete_references(spark, tmp_path):
     folder = cut_pages(spark, tmp_path)
     found = sorted(tuple(r[c] for c in ("page_id", "headline", "amount", "complete")) for r in catalogue.QUERIES["extract_pages"](spark, folder).collect())
     assert found == by_sql("extract_pages", folder) and found[0][1:] == ("Salt && pepper &amp", 1204.5, True)
+
+
+def test_records_are_not_broadcast(spark):
+    df = catalogue.QUERIES["extract_parts"](spark, SF)
+    assert "RepartitionByExpression" in plan(df)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
