@@ -86,5 +86,5 @@ FROM cells c LEFT JOIN shapes s ON s.doc = c.doc LEFT JOIN whole w ON w.doc = c.
 def inferred_headers(spark, sf_dir):
     own = cells(spark, sf_dir)
     docs = own.select("doc", "table").distinct()
-    axes = docs.withColumn("axis", F.lit("rows")).union(docs.filter("doc % 2 = 0").withColumn("axis", F.lit("columns")))
+    axes = docs.withColumn("axis", F.explode(F.when(F.col("doc") % 2 == 0, F.array(F.lit("rows"), F.lit("columns"))).otherwise(F.array(F.lit("rows")))))
     return tables.infer_headers(own, axes).select("doc", "table", "row", "col", "header")
