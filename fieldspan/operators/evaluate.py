@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from fieldspan.functions.text import fold
 
 
-def values_match(expected: Column, actual: Column, relative: float = 0.0, absolute: float = 0.0) -> Column:
-    """Equality of two values given as text: numbers within tolerance, else folded strings; a bool is never a number."""
+def number(value: Column) -> Column:
+    """A text as a double, null if it isn't one. What can't be one isn't cast: each such cast throws inside, dear over many rows."""
+    return F.when(value.rlike(r"(?i)[0-9]|inf|nan"), value.try_cast("double"))
+
+
+def values_match(expected: Column, actual: Column, relative: float = 0.0, absolute: float = 0.0, numbers: tuple[Column, Column] | None = None) -> Column:
+    """Equality of two values given as text: numbers within tolerance, else folded strings; a bool is never a number. ``numbers``: the two as ``number`` reads them, if that is done."""
     boolean = lambda c: F.lower(c).isin("true", "false")
-    a, b = expected.try_cast("double"), actual.try_cast("double")
+    a, b = numbers or (number(expected), number(actual))
     near = F.abs(a - b) <= F.greatest(F.lit(absolute), F.abs(a) * relative)
-    return F.when(boolean(expected) != boolean(actual), F.lit(False)).when(a.isNotNull() & b.isNotNull(), near).otherwise(fold(expected) == fold(actual))
+    return F.when(boolean(expected) != boolean(actual), F.lit(False)).when(a.isNotNull() & b.isNotNull(), near).when(F.lower(expected) == F.lower(actual), F.lit(True)).otherwise(fold(expected) == fold(actual))
 
 
 def outcome(expected: Column, actual: Column, match: Column) -> Column:

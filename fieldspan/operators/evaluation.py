@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspan.functions.units import UNITS
-from fieldspan.operators.evaluate import outcome, ratio, values_match
+from fieldspan.operators.evaluate import number, outcome, ratio, values_match
 
 
 def tolerances(fields: DataFrame, defaults: dict[str, tuple[float, float]], overrides: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -34,32 +34,60 @@ def rounding_slack(unit: str) -> float:
 
 def outcomes(pairs: DataFrame, relative: Column, absolute: Column) -> DataFrame:
     """pairs (expected, found, each null where there is none) with outcome."""
-    match = F.coalesce(F.abs(F.col("expected").try_cast("double") - F.col("found").try_cast("double")) <= F.greatest(absolute, relative * F.abs(F.col("expected").try_cast("double"))), F.lit(False))
-    return pairs.withColumn("outcome", outcome(F.col("expected"), F.col("found"), match | values_match(F.col("expected"), F.col("found"))))
+    read = pairs.withColumns({"__expected": number(F.col("expected")), "__found": number(F.col("found"))})
+    a, b = F.col("__expected"), F.col("__found")
+    match = F.coalesce(F.abs(a - b) <= F.greatest(absolute, relative * F.abs(a)), F.lit(False))
+    return read.withColumn("outcome", outcome(F.col("expected"), F.col("found"), match | values_match(F.col("expected"), F.col("found"), numbers=(a, b)))).drop("__expected", "__found")
 
 
-def document_scores(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+def document_scores(pairs: DataFrame, runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """doc with its counts of outcomes; every expected value of a failed document is missing, what it found doesn't count.
 
-    pairs: doc, schema, field, expected, found, outcome; runs: doc, status. Values of
-    a foreign schema have no expected value, hence are spurious.
+    pairs: doc, schema, field, expected, found, outcome; runs: doc, status; ``by``: columns of
+    both, such as the system, before doc. Values of a foreign schema have no expected value,
+    hence are spurious. The pairs are counted before their document's run is looked up.
     """
-    joined = pairs.join(runs.select("doc", "status"), "doc", "left")
-    failed = F.col("status") == "failed"
-    final = F.when(failed, F.when(F.col("expected").isNull(), "empty").otherwise("missing")).otherwise(F.col("outcome"))
-    kinds = ("correct", "wrong", "missing", "spurious", "empty")
-    return joined.withColumn("__o", F.coalesce(final, F.col("outcome"))).groupBy("doc").agg(*[F.count_if(F.col("__o") == k).alias(k) for k in kinds])
+    key = [*by, "doc"]
+    return _of_runs(pairs.groupBy(*key).agg(*_counts()), runs, key)
 
 
-def complete_records(pairs: DataFrame) -> DataFrame:
-    """doc, records, complete: expected records, and those with every value right."""
-    per = pairs.filter(F.col("entity").isNotNull()).groupBy("doc", "schema", "entity").agg(F.every(F.col("outcome").isin("correct", "empty")).alias("right"), F.some(F.col("expected").isNotNull()).alias("expected"))
-    return per.filter("expected").groupBy("doc").agg(F.count("*").alias("records"), F.count_if("right").alias("complete"))
+KINDS = ("correct", "wrong", "missing", "spurious", "empty")
 
 
-def system_scores(documents: DataFrame, records: DataFrame, runs: DataFrame) -> DataFrame:
+def _counts() -> list[Column]:
+    return [*[F.count_if(F.col("outcome") == k).alias(k) for k in KINDS], F.count_if(F.col("expected").isNotNull()).alias("__expected"), F.count_if(F.col("expected").isNull()).alias("__none")]
+
+
+def _of_runs(counts: DataFrame, runs: DataFrame, key: list[str]) -> DataFrame:
+    """A document's counts by the status of its run; one with several runs counts for each, its records (if there) once."""
+    joined = counts.join(runs.select(*key, "status"), key, "left")
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    of_failed = {"missing": F.col("__expected"), "empty": F.col("__none")}
+    final = {k: F.when(failed, of_failed.get(k, F.lit(0))).otherwise(F.col(k)) for k in KINDS}
+    return joined.groupBy(*key).agg(*[F.sum(c).alias(k) for k, c in final.items()], *[F.max(c).alias(c) for c in ("records", "complete") if c in counts.columns])
+
+
+def scored_documents(pairs: DataFrame, runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``document_scores`` with the records and complete of ``complete_records``, from one pass over the pairs."""
+    key = [*by, "doc"]
+    per = pairs.groupBy(*key, "schema", "entity").agg(*_counts(), F.every(F.col("outcome").isin("correct", "empty")).alias("__right"))
+    record = F.col("entity").isNotNull() & (F.col("__expected") > 0)
+    counts = per.groupBy(*key).agg(*[F.sum(c).alias(c) for c in (*KINDS, "__expected", "__none")], F.count_if(record).alias("records"), F.count_if(record & F.col("__right")).alias("complete"))
+    return _of_runs(counts, runs, key)
+
+
+def complete_records(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """doc, records, complete: expected records, and those with every value right; ``by``: more columns before doc."""
+    per = pairs.filter(F.col("entity").isNotNull()).groupBy(*by, "doc", "schema", "entity").agg(F.every(F.col("outcome").isin("correct", "empty")).alias("right"), F.some(F.col("expected").isNotNull()).alias("expected"))
+    return per.filter("expected").groupBy(*by, "doc").agg(F.count("*").alias("records"), F.count_if("right").alias("complete"))
+
+
+def system_scores(documents: DataFrame, records: DataFrame | None, runs: DataFrame) -> DataFrame:
     """A row a system and corpus: documents, failed, accuracy, completeness, cost and calls a document, p50 and p95 seconds of those that didn't fail."""
-    joined = runs.join(documents, ["system", "corpus", "doc"], "left").join(records, ["system", "corpus", "doc"], "left")
+    key = ["system", "corpus", "doc"]
+    joined = runs.join(documents, key, "left")
+    if records is not None:  # else they are in documents
+        joined = joined.join(records, key, "left")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     scored = zero("correct") + zero("wrong") + zero("missing") + zero("spurious")
     ran = F.when(F.col("status") != "failed", F.col("seconds"))

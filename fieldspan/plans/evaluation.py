@@ -54,15 +54,11 @@ recs AS (SELECT system, doc, count(*) AS records, count(*) FILTER (whole) AS com
 
 
 def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, ran = pairs(spark, sf_dir), runs(spark, sf_dir)
-    parts = [evaluation.document_scores(own.filter(F.col("system") == s), ran.filter(F.col("system") == s)).withColumn("system", F.lit(s)) for s in ("rules", "model")]
-    return parts[0].union(parts[1])
+    return evaluation.document_scores(pairs(spark, sf_dir), runs(spark, sf_dir), ("system",))
 
 
 def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = pairs(spark, sf_dir)
-    parts = [evaluation.complete_records(own.filter(F.col("system") == s)).withColumn("system", F.lit(s)) for s in ("rules", "model")]
-    return parts[0].union(parts[1])
+    return evaluation.complete_records(pairs(spark, sf_dir), ("system",))
 
 
 @register(_SCORED + "SELECT * FROM counts")
@@ -81,21 +77,22 @@ _SYSTEMS = _SCORED.rstrip() + """, systems AS (SELECT system, corpus, count(*) A
 """
 
 
-def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = F.lit("orders")
-    found = evaluation.system_scores(document_counts(spark, sf_dir).withColumn("corpus", corpus), record_counts(spark, sf_dir).withColumn("corpus", corpus), runs(spark, sf_dir))
-    digits = {c: F.round(c, 6 if c in ("p50", "p95") else 9) for c in found.columns[4:]}
-    return found.withColumns(digits)
+def rounded(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.round(c, 6 if c in ("p50", "p95") else 9) for c in found.columns[4:]})
 
 
 @register(_SYSTEMS + "SELECT * FROM systems")
 def system_scores(spark, sf_dir):
-    return systems(spark, sf_dir)
+    ran = runs(spark, sf_dir)
+    scored = evaluation.scored_documents(pairs(spark, sf_dir), ran, ("system",)).withColumn("corpus", F.lit("orders"))
+    return rounded(evaluation.system_scores(scored, None, ran))
 
 
 @register(_SYSTEMS + "SELECT corpus, max(accuracy) FILTER (system = 'rules') AS rules, max(accuracy) FILTER (system = 'model') AS model FROM systems GROUP BY 1")
 def results_table(spark, sf_dir):
-    return evaluation.results_table(systems(spark, sf_dir), "accuracy", ["rules", "model"])
+    # accuracy needs no records: counted apart, they are pruned
+    documents, records = (f(spark, sf_dir).withColumn("corpus", F.lit("orders")) for f in (document_counts, record_counts))
+    return evaluation.results_table(rounded(evaluation.system_scores(documents, records, runs(spark, sf_dir))), "accuracy", ["rules", "model"])
 
 
 @register("""

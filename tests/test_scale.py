@@ -5,7 +5,10 @@ import random
 import duckdb
 import pyarrow as pa
 
-from fieldspan.operators import embedded, html, tables
+from pyspark.sql import functions as F
+
+from fieldspan.operators import embedded, evaluation, html, tables
+from fieldspan.operators.evaluate import number, values_match
 from fieldspan.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +125,34 @@ def test_tables_are_summed_up_to_rows_before_they_meet(spark):
         assert shown.count("Relation") <= scans
         if scans == 2:
             assert "Join" not in shown and shown.rindex("Aggregate [doc#") > shown.rindex("Window [")
+
+
+def test_pairs_are_made_once(spark):
+    for name in ("system_scores", "results_table"):
+        shown = plan(catalogue.QUERIES[name](spark, SF))
+        assert shown.count("Relation") <= 3 and shown.count("l_orderkey") > 0
+
+
+def test_scores_from_one_pass(spark):
+    draw, kinds = random.Random(4), ["correct", "wrong", "missing", "spurious", "empty"]
+    rows = [(draw.choice("ab"), draw.choice([1, 2, 3, 4, None]), "S", draw.choice(["x", "y", None]), draw.choice(["1", None]), draw.choice(kinds)) for _ in range(300)]
+    pairs = spark.createDataFrame(rows, "system string, doc int, schema string, entity string, expected string, outcome string")
+    runs = spark.createDataFrame([("a", 1, "ok"), ("a", 2, "failed"), ("a", 2, "ok"), ("b", 3, "failed"), ("b", 9, "ok")], "system string, doc int, status string")
+    once = {(r["system"], r["doc"]): r for r in evaluation.scored_documents(pairs, runs, ("system",)).collect()}
+    records = {(r["system"], r["doc"]): (r["records"], r["complete"]) for r in evaluation.complete_records(pairs, ("system",)).collect()}
+    statuses = {("a", 1): ["ok"], ("a", 2): ["failed", "ok"], ("b", 3): ["failed"]}
+    for key, r in once.items():
+        own = [x for x in rows if (x[0], x[1]) == key]
+        final = [(("missing" if x[4] else "empty") if s == "failed" else x[5]) for s in statuses.get(key, ["ok"]) for x in own]
+        assert [r[k] for k in kinds] == [final.count(k) for k in kinds] and (r["records"], r["complete"]) == records.get(key, (0, 0))
+    apart = evaluation.document_scores(pairs, runs, ("system",)).collect()
+    assert {(r["system"], r["doc"], *[r[k] for k in kinds]) for r in apart} == {(*k, *[r[c] for c in kinds]) for k, r in once.items()} and len(once) == 10
+
+
+def test_texts_that_look_like_numbers(spark):
+    said = ["1", " 1.0 ", "1e0", "Infinity", "-inf", "NaN", "nan", "R", "r", " r", "x1", "true", "TRUE", "", None, "1d"]
+    found = spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string")
+    cast = lambda c: F.col(c).try_cast("double")
+    before = values_match(F.col("a"), F.col("b"), numbers=(cast("a"), cast("b")))
+    assert found.filter(~before.eqNullSafe(values_match(F.col("a"), F.col("b"))) | ~cast("a").eqNullSafe(number(F.col("a")))).count() == 0
+    assert found.filter("a = 'R' AND b = ' r'").filter(values_match(F.col("a"), F.col("b"))).count() == 1
